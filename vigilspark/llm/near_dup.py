@@ -74,7 +74,7 @@ def _node(own: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int = 2, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, node, bands); node and bands are null for a document without shingles."""
+    """docs (doc_id, text) -> (doc_id, mark, n_shingles, node, bands); mark is a hash of the text; node and bands are null for a document without shingles."""
 
     def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         size, nodes, signed = [], [], []
@@ -87,9 +87,9 @@ def sketches(docs: DataFrame, words: int = 2, rows: int = ROWS, bands: int = BAN
         full = np.array(size) > 0
         ends = np.concatenate([[0], np.cumsum(full) * bands]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "mark", "n_shingles", "node", "bands"])
 
-    return map_slices(docs.select("doc_id", "text"), kernel, "doc_id long, n_shingles long, node long, bands array<long>")
+    return map_slices(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), kernel, "doc_id long, mark long, n_shingles long, node long, bands array<long>")
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, words: int = 2) -> DataFrame:
@@ -130,7 +130,7 @@ def _pivot_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, node, root): root is the same for all rows that are linked, directly or by others.
+    """docs (doc_id, text) -> (doc_id, mark, n_shingles, node, root): root is the same for all rows that are linked, directly or by others.
 
     Null, empty or blank texts have no shingles, a null node and root, and are linked with nothing. Rows with equal
     sets have one node, whatever their doc_id; repeated and null doc_ids are rows of their own.
@@ -160,7 +160,7 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
         left = cut(left.join(open_, "key", "left_semi"))
         if left.isEmpty():
             break
-    return signed.drop("bands").join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
+    return signed.drop("bands").join(roots, "node", "left").select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -182,8 +182,8 @@ def keep_one(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     All columns stay as they are. Rows without shingles all stay. Of rows that repeat a kept doc_id within a group, one stays.
     """
     rows = linked(docs, words, percent)
-    chosen = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    chosen = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("c")).select(F.col("c.doc_id").alias("__kept"), F.col("c.mark").alias("__mark"), F.col("root").alias("__root"))
     marked = docs.withColumn("__blank", ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
-    mine = marked.join(chosen.select(F.col("doc_id").alias("__kept"), F.col("root").alias("__root")), F.col("doc_id").eqNullSafe(F.col("__kept")) & ~F.col("__blank"), "left")
-    kept = mine.where("__root is not null").dropDuplicates(["__root"])
-    return kept.select(docs.columns).unionByName(mine.where("__blank").select(docs.columns))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("__mark"))
+    kept = marked.where("not __blank").join(chosen, same).dropDuplicates(["__root"])
+    return kept.select(docs.columns).unionByName(marked.where("__blank").select(docs.columns))
