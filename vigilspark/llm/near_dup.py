@@ -5,10 +5,11 @@ second is read at k places shifted by 1, 2, ... k, so that all coordinates of on
 fixed table. A signature is the minimum of such slices over the shingles of a document. BANDS bands of ROWS coordinates
 each bring documents together; at the threshold of 0.8, a pair shares no band with a chance of (1 - 0.8**5)**36 = 6e-7.
 
-Work is linear in the bucket sizes: documents with equal shingle sets are one node; in each bucket, all nodes are held
-against the bucket's smallest (its pivot), which then leaves the bucket; buckets whose nodes are all connected by then
-are done, the others get further pivots, and after PIVOTS rounds all pairs that lie in different components. So no link
-between different texts that share a band is lost, and none is kept without the exact Jaccard check on full sets.
+Documents with equal shingle sets are one node. First, each node is held against the smallest node in any of its
+buckets. Then, in each bucket that isn't connected yet, all nodes outside the component of the bucket's smallest node
+(its pivot) are held against that one, which then leaves the bucket; after PIVOTS such rounds, the pairs that still lie
+in different components are. So no link between different texts that share a band is lost, and none is kept without the
+exact Jaccard check on full sets; the work is linear in the bucket sizes but for nodes that have no link there.
 """
 
 from __future__ import annotations
@@ -113,12 +114,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     one = sets.select(F.col("node").alias("u"), F.col("set").alias("su"))
     two = sets.select(F.col("node").alias("v"), F.col("set").alias("sv"))
-    # sizes bound the likeness: pairs of too unequal sizes go before their sets meet
-    size = sets.select("node", F.size("set").cast("long").alias("n"))
-    fit = pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(size.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    both = F.size(F.array_intersect("su", "sv")).cast("long")
-    met = fit.join(one, "u").join(two, "v").select("u", "v", both.alias("both"), "nu", "nv")
-    return met.where(F.col("both") * 100 >= (F.col("nu") + F.col("nv") - F.col("both")) * percent).select("u", "v")
+    both, nu, nv = F.size(F.array_intersect("su", "sv")).cast("long"), F.size("su").cast("long"), F.size("sv").cast("long")
+    near = (F.least(nu, nv) * 100 >= F.greatest(nu, nv) * percent) & (both * 100 >= (nu + nv - both) * percent)
+    return pairs.join(one, "u").join(two, "v").where(near).select("u", "v")
 
 
 def _pivot_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,6 +127,20 @@ def _pivot_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, rest.select("key", "node", "root")
 
 
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """A pair for each node at most: with the smallest node of all its buckets."""
+    least = members.groupBy("key").agg(F.min("node").alias("v"))
+    return members.join(least, "key").groupBy(F.col("node").alias("u")).agg(F.min("v").alias("v")).where("u != v")
+
+
+def _all_pairs(left: DataFrame) -> DataFrame:
+    """The pairs of a bucket in different components, each in one of the buckets that it shares."""
+    own = left.join(left.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+    other = own.select(F.col("key").alias("k"), F.col("node").alias("v"), F.col("root").alias("other"), F.col("keys").alias("others"))
+    once = F.expr("key = k and root < other and array_min(array_intersect(keys, others)) = key")
+    return own.join(other, once).select(F.col("node").alias("u"), "v")
+
+
 def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, mark, n_shingles, node, root): root is the same for all rows that are linked, directly or by others.
 
@@ -144,12 +156,13 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
     sets = cut(node_sets(docs, cut(wanted), words))
     links = None
     left = members.withColumn("root", F.col("node"))
-    for turn in range(PIVOTS + 1):
-        if turn < PIVOTS:
+    for turn in range(PIVOTS + 2):
+        if turn == 0:
+            pairs = _first_pairs(members)
+        elif turn <= PIVOTS:
             pairs, left = _pivot_pairs(left)
         else:
-            other = left.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
-            pairs, left = left.join(other, "key").where("root < other").select(F.col("node").alias("u"), "v").distinct(), None
+            pairs, left = _all_pairs(left), None
         found = cut(_verified(pairs, sets, percent))
         links = found if links is None else cut(links.union(found))
         roots = cut(components(links))
