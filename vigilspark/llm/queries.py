@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dup, packing, secret_scan
+from . import fingerprint, mixing, near_dup, packing, repeats, secret_scan
 from .common import table
 
 
@@ -24,11 +24,15 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash_near_dedup, op6_source_mixing, op7_fingerprint, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash_near_dedup, op6_source_mixing, op7_fingerprint, op8_repeated_strings, op10_packing)}
 
 #: The mix by the same order of documents, without buckets.
 _MIX_SQL = """
