@@ -166,3 +166,17 @@ def test_packing(spark, sf_dir):
     padded = sum(1024 - sum(n for _, n in p) for p in used.values())
     assert padded < 0.05 * 1024 * len(used) + 1024
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_words_have_the_ids_of_the_tokenizer(spark):
+    """The faster merge loop against the tokenizer itself: all words of a table, and random ones."""
+    rng = random.Random(1)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    texts = [r.text for r in rows] + ["".join(rng.choices("abcxyzTHE'’sé漢字🙂\u00a0\u2003\t\n  ..,,--!?0123<|>_", k=rng.randint(1, 40))) for _ in range(20000)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = packing.encoder(path)
+    assert words.ranked is not None
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert words.encode(text) == b"".join(i.to_bytes(4, "little") for i in e.ids)

@@ -7,6 +7,7 @@ TOP_UP tokens, and a new one opens. What is still open at the ends of the partit
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,28 @@ assert sys.byteorder == "little" and array("I").itemsize == 4
 _encoders: dict[str, "WordIds"] = {}
 
 
+#: How byte-level BPE files write bytes: printable ones of Latin-1 as they are, the rest from U+0100 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_OF = {chr(b): b for b in _PRINTABLE} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def ranked(path: str) -> tiktoken.Encoding | None:
+    """The same vocabulary as ranks, for a loop that merges a word some four times as fast; None where a file isn't a plain byte-level BPE whose merges come by id."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, pre = whole["model"], whole.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or whole.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    vocabulary = model["vocab"]
+    made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    special = {x["content"] for x in whole.get("added_tokens", [])}
+    ranks = {bytes(map(_BYTE_OF.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
+    if made != sorted(set(made)) or len(ranks) != 256 + len(made) or sorted(ranks.values())[:256] != sorted(ranks[bytes([b])] for b in range(256)):
+        return None
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordIds(dict):
     """Ids (little-endian, 4 bytes each) of a space and a word, for a byte-level BPE whose pre-tokens never run on into white space.
 
@@ -47,12 +71,13 @@ class WordIds(dict):
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ranked = ranked(path)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(" " + word)
+        ids = array("I", self.ranked.encode_ordinary(" " + word)).tobytes() if self.ranked else self.whole(" " + word)
         if len(word) <= REMEMBER_CHARS:
             if len(self) >= REMEMBER:
                 self.clear()
