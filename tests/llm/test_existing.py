@@ -55,6 +55,25 @@ def test_near_duplicates(spark, words):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Families with links near the threshold, compared in groups and by pairs alike."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        for _ in range(60):
+            w = list(base)
+            for k in rng.sample(range(60), rng.randint(0, 7)):
+                w[k] = f"v{rng.randrange(9)}"
+            texts.append(" ".join(w))
+    want = sorted(plain.near_components(list(enumerate(texts)), 2))
+    assert len({c for _, _, c, _ in want}) > 5
+    for small, group in ((2, 7), (2, 2000), (10**6, 1)):
+        monkeypatch.setattr(near_dup, "SMALL", small)
+        monkeypatch.setattr(near_dup, "GROUP", group)
+        assert sorted(tuple(r) for r in near_dup.near_duplicates(frame(spark, texts)).collect()) == want
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (4, "a b c"), (4, "q r"), (5, "q r")], "doc_id long, text string")
     rows = [tuple(r) for r in near_dup.near_duplicates(docs).collect()]

@@ -7,14 +7,17 @@ each bring documents together; at the threshold of 0.8, a pair shares no band wi
 
 Documents with equal shingle sets are one node. First, each node is held against the smallest node in any of its
 buckets. Then, in each bucket that isn't connected yet, all nodes outside the component of the bucket's smallest node
-(its pivot) are held against that one, which then leaves the bucket; after PIVOTS such rounds, the pairs that still lie
-in different components are. So no link between different texts that share a band is lost, and none is kept without the
-exact Jaccard check on full sets; the work is linear in the bucket sizes but for nodes that have no link there.
+(its pivot) are held against that one, which then leaves the bucket. What still lies in different components is compared
+in full: in a small bucket by pairs, in a larger one inside tasks of bounded groups that emit verified links only. There,
+a node is held against the others until it has a link to their component. So no link between different texts that share a
+band is lost, and none is kept without the exact Jaccard check on full sets; the work is linear in the bucket sizes but
+for nodes that have no link there.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ from .components import components
 from .shingles import mix, shingle_hashes, word_hashes
 
 SLOT_BITS, ROWS, BANDS = 21, 5, 36
-PIVOTS = 3
+PIVOTS = 1
+#: Nodes of a bucket that are compared by pairs; nodes of a larger one that meet in a task; nodes that one is held against at once.
+SMALL, GROUP, BLOCK = 12, 2000, 128
 #: Candidates' keys are broadcast up to so many rows of 16 bytes; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -141,6 +146,47 @@ def _all_pairs(left: DataFrame) -> DataFrame:
     return own.join(other, once).select(F.col("node").alias("u"), "v")
 
 
+def _linker(percent: int):
+    """For nodes of a bucket: a link between any two local components that have one; all but the main component's nodes are held against the rest."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["main", "node"], ascending=[False, True], ignore_index=True)
+        node, home = rows["node"].to_numpy(), rows["home"].to_numpy()
+        sets = [np.sort(x) for x in rows["set"]]
+        size = np.array([len(x) for x in sets])
+        _, part = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        part, out = part.copy(), []
+        for o in range(int(rows["main"].sum()), len(node)):
+            fits = (np.minimum(size[:o], size[o]) * 100 >= np.maximum(size[:o], size[o]) * percent) & (home[:o] | home[o])
+            rest = np.flatnonzero(fits & (part[:o] != part[o]))
+            while len(rest):
+                block, rest = rest[:BLOCK], rest[BLOCK:]
+                joined = np.concatenate([sets[i] for i in block])
+                at = np.minimum(np.searchsorted(sets[o], joined), size[o] - 1)
+                both = np.add.reduceat(sets[o][at] == joined, np.cumsum(size[block]) - size[block], dtype=np.int64)
+                near = block[both * 100 >= (size[block] + size[o] - both) * percent]
+                for i in near:
+                    if part[i] != part[o]:
+                        out.append((node[o], node[i]))
+                        part[part == part[i]] = part[o]
+                if len(near):
+                    rest = rest[part[rest] != part[o]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
+
+
+def _bucket_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """sized (key, node, root, n): links within buckets. A bucket of over GROUP nodes is dealt over several tasks, in each of which nodes outside its main component meet those that are at home there."""
+    each = sized.groupBy("key", "root").agg(F.count("*").alias("m"))
+    main = each.groupBy("key").agg(F.max(F.struct("m", "root")).alias("b")).select("key", F.col("b.root").alias("most"))
+    tasks = F.ceil(F.col("n") / GROUP).cast("int")
+    placed = sized.join(main, "key").select("key", "node", "root", (F.col("root") == F.col("most")).alias("main"), tasks.alias("tasks"), F.pmod(F.xxhash64("node"), tasks).alias("own"))
+    dealt = placed.withColumn("salt", F.explode(F.when(F.col("main"), F.array(F.col("own"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tasks") - F.lit(1).cast("long")))))
+    rows = dealt.withColumn("home", F.col("salt") == F.col("own")).join(sets, "node")
+    return rows.select("key", "salt", "node", "root", "main", "home", "set").groupBy("key", "salt").applyInPandas(_linker(percent), "u long, v long").distinct()
+
+
 def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, mark, n_shingles, node, root): root is the same for all rows that are linked, directly or by others.
 
@@ -158,12 +204,15 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
     left = members.withColumn("root", F.col("node"))
     for turn in range(PIVOTS + 2):
         if turn == 0:
-            pairs = _first_pairs(members)
+            found = _verified(_first_pairs(members), sets, percent)
         elif turn <= PIVOTS:
             pairs, left = _pivot_pairs(left)
+            found = _verified(pairs, sets, percent)
         else:
-            pairs, left = _all_pairs(left), None
-        found = cut(_verified(pairs, sets, percent))
+            sized = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
+            few = _verified(_all_pairs(sized.where(F.col("n") <= SMALL).drop("n")), sets, percent)
+            found, left = few.union(_bucket_links(sized.where(F.col("n") > SMALL), sets, percent)), None
+        found = cut(found)
         links = found if links is None else cut(links.union(found))
         roots = cut(components(links))
         if left is None:
