@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dup, packing, repeats, secret_scan
+from . import fingerprint, language, license_scan, media, mixing, near_dup, packing, quality, repeats, secret_scan
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("mark")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,11 +40,16 @@ def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash_near_dedup, op6_source_mixing, op7_fingerprint, op8_repeated_strings, op10_packing)}
+_ALL = (op1_secret_scan, op2_minhash_near_dedup, op3_license_scan, op4_language_id, op5_quality_classifier, op6_source_mixing, op7_fingerprint, op8_repeated_strings, op9_media_columns, op10_packing)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: The mix by the same order of documents, without buckets.
 _MIX_SQL = """
