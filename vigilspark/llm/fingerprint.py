@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORDS, SCALE = 5, 8
 #: Successors of ids are found in ranges of 2**STEP_BITS ids, then among the ranges, and so on.
 STEP_BITS = 16
+#: Neighbouring documents meet in ranges of 2**RANGE_BITS ids.
+RANGE_BITS = 9
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -77,6 +79,27 @@ def successors(ids: DataFrame, bits: int = 64) -> DataFrame:
     return within.join(follow, "range", "left").select("id", F.coalesce("next", "head").alias("next"))
 
 
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), neither null -> with `next`, the text of the next larger doc_id, after the largest that of the smallest.
+
+    Texts move once, to ranges of 2**RANGE_BITS ids; the first document of the range that follows comes along as a ghost.
+    Of rows that repeat a doc_id, the smallest text is the next one.
+    """
+    ranged = docs.withColumn("range", F.shiftright("doc_id", RANGE_BITS))
+    least = docs.agg(F.min("doc_id")).first()[0]
+    first = F.lit(0 if least is None else least >> RANGE_BITS).cast("long")
+    heads = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("h"))
+    order = successors(ranged.select(F.col("range").alias("id")).distinct()).select(F.col("id").alias("of"), F.coalesce("next", first).alias("range"))
+    ghosts = heads.join(order, "range").select("h.doc_id", "h.text", F.col("of").alias("range"), F.lit(True).alias("ghost"))
+    every = ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("range")
+    ahead = F.lead(F.struct("doc_id", "ghost", "text")).over(Window.partitionBy("range").orderBy("ghost", "doc_id", "text"))
+    every = every.withColumn("ahead", ahead)
+    # the last of the rows with one doc_id has the next doc_id ahead
+    other = F.when((F.col("ahead.doc_id") != F.col("doc_id")) | F.col("ahead.ghost"), F.col("ahead.text"))
+    every = every.withColumn("next", F.max(other).over(Window.partitionBy("range", "ghost", "doc_id")))
+    return every.where("not ghost").select("doc_id", "text", "next")
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
@@ -84,18 +107,14 @@ def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Dat
     of rows that repeat its doc_id, the smallest text. Rows with a null doc_id come next to nothing: nothing replaces the
     end of their text, and near_next compares with an empty text. An empty table gives an empty one.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", sketch(F.col("text"), words, scale))
-    quarters = docs.select("doc_id", F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("int").alias("cut")).where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("cut").alias("cut"))
-    first = quarters.agg(F.min("id").alias("first"))
-    follow = successors(quarters.select("id")).crossJoin(F.broadcast(first)).select("id", F.coalesce("next", "first").alias("next"))  # one row
-    needs = follow.join(quarters, "id").select("id", "next", "cut")
-    pieces = base.join(needs, F.col("doc_id") == F.col("next")).select("id", F.struct(F.col("text").substr(F.lit(1), F.col("cut")).alias("piece"), "print").alias("n")).groupBy("id").agg(F.min("n").alias("n"))
-    met = base.join(pieces, F.col("doc_id") == F.col("id"), "left")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    met = with_next(base.where("doc_id is not null")).unionByName(base.where("doc_id is null").withColumn("next", F.lit("")))
     size = F.length("text")
-    edited = F.concat(F.col("text").substr(F.lit(1), (size - F.floor(size / 4)).cast("int")), F.coalesce(F.col("n.piece").substr(F.lit(1), F.floor(size / 4).cast("int")), F.lit("")))
-    met = met.select("doc_id", size.cast("long").alias("n_chars"), "print", edited.alias("edited"), F.coalesce("n.print", F.array().cast("array<long>")).alias("next_print"))
+    part = F.floor(size / 4).cast("int")
+    edited = F.concat(F.col("text").substr(F.lit(1), size - part), F.col("next").substr(F.lit(1), part))
+    met = met.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), *[sketch(F.col(c), words, scale).alias(f"{c}_print") for c in ("text", "next")])
     met = met.withColumn("edited_print", sketch(F.col("edited"), words, scale))
     return met.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("text_print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("text_print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("text_print"), F.col("next_print")).alias("near_next"),
     )
