@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised kernel looks at in one go; its scratch arrays are some 30 times that.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes and rows that the JVM puts into one Arrow batch.
 BATCH_BYTES, BATCH_ROWS = "16m", "4000"
 

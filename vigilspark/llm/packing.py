@@ -31,7 +31,7 @@ SIZE, OPEN, TOP_UP = 1024, 32, 32
 #: Partitions whose leftovers meet in one task.
 FAN_IN_BITS = 8
 #: Words whose ids a worker remembers, and the longest of them.
-REMEMBER, REMEMBER_CHARS = 800_000, 64
+REMEMBER, REMEMBER_CHARS = 300_000, 64
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 _encoders: dict[str, "WordIds"] = {}
