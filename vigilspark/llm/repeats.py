@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices
+from .common import SLICE_BYTES, binary_buffers, bound_batches, cut, map_slices
 from .shingles import _BYTE, mix
 
 LENGTH, GRAM = 400, 128
@@ -152,31 +152,102 @@ def sorted_classes(data: bytes, starts: np.ndarray, length: int = LENGTH, shallo
             todo += [(group[x], depth + 8 * (x is same)) for x in (more, same, less) if x.any()]
 
 
-def _sorter(length: int):
-    """For the blocks of an anchor and salt: which windows have an equal one here, and a hash of each that has none."""
-
-    def run(blocks: pd.DataFrame) -> pd.DataFrame:
-        data = b"".join(blocks["content"])
-        ends = np.cumsum(blocks["content"].str.len().to_numpy())
-        begins = ends - blocks["content"].str.len().to_numpy()
-        count = blocks["s1"].to_numpy() - blocks["s0"].to_numpy() + 1
-        block = np.repeat(np.arange(len(blocks)), count)
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        starts = begins[block] + step
-        split = bool(blocks["split"].iloc[0])
-        out = []
-        doc, s0 = blocks["mark"].to_numpy(), blocks["s0"].to_numpy()
-        for members in sorted_classes(data, starts, length):
+def _window_hashes(data: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the strings of `length` bytes at begins."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * _pow(_BASE, len(data))[: len(data)], out=sums[1:])
+        return mix((sums[begins + length] - sums[begins]) * _pow(_UNBASE, len(data) + 1)[begins])
+
+
+def _equal_windows(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """For whole groups of blocks (same anchor and salt, next to each other): ranges of windows with an equal one in their group, and in split groups a 128-bit hash of one window of each class.
+
+    Windows whose 64-bit hash is single in their group have no equal one; only the rest are sorted, which tells by their bytes.
+    """
+    at = {n: k for k, n in enumerate(rows.column_names)}
+    column = lambda n: rows.column(at[n]).to_numpy()
+    data, ends = binary_buffers(rows.column(at["content"]))
+    anchor, salt, mark, s0, split = (column(n) for n in ("anchor", "salt", "mark", "s0", "split"))
+    group = np.cumsum(np.concatenate([[False], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]))
+    count = column("s1") - s0 + 1
+    block = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    begins = ends[block] + step
+    with np.errstate(over="ignore"):
+        keyed = mix(_window_hashes(data, begins, length) + group[block].astype(np.uint64) * np.uint64(_BASE))
+    order = np.argsort(keyed, kind="stable")
+    same = keyed[order][1:] == keyed[order][:-1]
+    often = np.zeros(len(keyed), bool)
+    often[order[1:][same]] = often[order[:-1][same]] = True
+    raw, equal, hashed = data.tobytes(), np.zeros(len(keyed), bool), []
+
+    def digest(i: int) -> None:
+        b = int(begins[i])
+        hashed.append((int(mark[block[i]]), int(s0[block[i]] + step[i]), hashlib.blake2b(raw[b : b + length], digest_size=16).digest()))
+
+    for i in np.flatnonzero(~often & split[block]).tolist():
+        digest(i)
+    picked = np.flatnonzero(often)
+    for own in np.split(picked, np.flatnonzero(np.diff(group[block[picked]])) + 1) if len(picked) else []:
+        lo = int(begins[own].min())
+        part = raw[lo : int(begins[own].max()) + length]
+        for members in sorted_classes(part, begins[own] - lo, length):
             if len(members) > 1:
-                out += [(doc[block[i]], int(s0[block[i]] + step[i]), None) for i in members]
-            if split:
-                i = members[0]
-                out.append((doc[block[i]], int(s0[block[i]] + step[i]), hashlib.blake2b(data[starts[i] : starts[i] + length], digest_size=16).digest()))
-        return pd.DataFrame(out, columns=["mark", "start", "hash"])
+                equal[own[members]] = True
+            if split[block[own[members[0]]]]:
+                digest(int(own[members[0]]))
+    # runs of repeated windows of a block
+    on = np.flatnonzero(equal)
+    first = np.concatenate([[True], (np.diff(on) > 1) | (block[on][1:] != block[on][:-1])]) if len(on) else np.zeros(0, bool)
+    heads = np.flatnonzero(first)
+    tails = np.append(heads[1:], len(on)) - 1 if len(on) else heads
+    start = s0[block] + step
+    marks = mark[block[on[heads]]].tolist() + [m for m, _, _ in hashed]
+    low = start[on[heads]].tolist() + [s for _, s, _ in hashed]
+    high = start[on[tails]].tolist() + [s for _, s, _ in hashed]
+    hashes = [None] * len(heads) + [h for _, _, h in hashed]
+    return pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(hashes, pa.binary())], names=["mark", "s0", "s1", "hash"])
+
+
+def _sorter(length: int):
+    """Over batches ordered by anchor and salt: whole groups at a time, some SLICE_BYTES together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SLICE_BYTES:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                anchor, salt = rows.column("anchor").to_numpy(), rows.column("salt").to_numpy()
+                last = np.flatnonzero((anchor != anchor[-1]) | (salt != salt[-1]))
+                whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+                for lo, hi in _cuts(rows, anchor, salt, whole):
+                    yield _equal_windows(rows.slice(lo, hi - lo), length)
+                held = rows.slice(whole).to_batches()
+                size = sum(b.nbytes for b in held)
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            for lo, hi in _cuts(rows, rows.column("anchor").to_numpy(), rows.column("salt").to_numpy(), rows.num_rows):
+                yield _equal_windows(rows.slice(lo, hi - lo), length)
 
     return run
 
 
+def _cuts(rows: pa.Table, anchor: np.ndarray, salt: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
+    """Slices of whole groups, of some SLICE_BYTES of content each."""
+    sizes, lo = binary_buffers(rows.column("content"))[1], 0
+    heads = np.append(np.flatnonzero((anchor[1:end] != anchor[: end - 1]) | (salt[1:end] != salt[: end - 1])) + 1, end) if end else []
+    for h in heads:
+        if sizes[h] - sizes[lo] >= SLICE_BYTES or h == end:
+            yield lo, int(h)
+            lo = int(h)
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs (mark, text), mark a hash of the text -> (mark, s0, s1): ranges of window starts that are repeated."""
 
@@ -199,11 +270,12 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     bytes_ = raw.select("mark", "b.*", F.expr(f"substring(raw, cast(b.s0 + 1 as int), cast(b.s1 - b.s0 + {length} as int))").alias("content"))
     salts = F.ceil(F.col("kinds") / GROUP)
     groups = bytes_.withColumn("split", salts > 1).withColumn("salt", F.pmod(F.xxhash64("mark", "s0"), salts)).drop("kinds")
-    found = groups.groupBy("anchor", "salt").applyInPandas(_sorter(length), "mark long, start long, hash binary")
-    found = cut(found)
+    bound_batches(docs.sparkSession)
+    ordered = groups.select("anchor", "salt", "mark", "s0", "s1", "split", "content").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    found = cut(ordered.mapInArrow(_sorter(length), "mark long, s0 long, s1 long, hash binary"))
     across = found.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    more = found.where("hash is null").select("mark", "start").union(found.join(across, "hash", "left_semi").select("mark", "start"))
-    return sure.union(more.select("mark", F.col("start").alias("s0"), F.col("start").alias("s1")))
+    more = found.where("hash is null").union(found.join(across, "hash", "left_semi").select(found.columns)).select("mark", "s0", "s1")
+    return sure.union(more)
 
 
 def cut_out(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
