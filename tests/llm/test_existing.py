@@ -154,7 +154,7 @@ def test_repeats(spark, sf_dir):
 def test_repeats_on_tables_and_split_groups(spark, sf_dir, monkeypatch):
     rows = whole(spark, sf_dir).select("doc_id", "text").collect()
     want = dict(zip([r.doc_id for r in rows], plain.without_repeats([r.text for r in rows])))
-    for group in (400, 2):
+    for group in (16384, 2):
         monkeypatch.setattr(repeats, "GROUP", group)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(whole(spark, sf_dir)).collect()}
         assert got == want
