@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Shuffle files and checkpoints of earlier rounds go once nothing refers to them and both sides have collected their garbage; a long loop would pile them up."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column (null: empty) and the offsets of its rows in them; no copy."""
     if isinstance(column, pa.ChunkedArray):

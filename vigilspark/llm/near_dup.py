@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices
+from .common import cut, map_slices, release
 from .components import components
 from .shingles import mix, shingle_hashes, word_hashes
 
@@ -200,6 +200,7 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
     members = cut(keys.join(shared, "key"))
     wanted = signed.where("node is not null").select("doc_id", "node").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "node")
     sets = cut(node_sets(docs, cut(wanted), words))
+    release(sets)
     links = None
     left = members.withColumn("root", F.col("node"))
     for turn in range(PIVOTS + 2):
@@ -215,6 +216,7 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
         found = cut(found)
         links = found if links is None else cut(links.union(found))
         roots = cut(components(links))
+        release(roots)
         if left is None:
             break
         left = left.drop("root").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
