@@ -146,6 +146,17 @@ def test_quality(spark):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def test_quality_learns_from_all(spark, monkeypatch):
+    """Counts cover every trusted document that isn't toxic, also the few of a rare language among very many others."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "IF(id % 5000 = 7, 'ru', 'en') AS lang", "IF(id % 5000 = 7, 'да нет', concat('word ', id)) AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id % 100 = 99, 0, 1) AS quality", "IF(doc_id % 100 = 98, 1, 0) AS toxic")
+    counted, plain = [], quality.model
+    monkeypatch.setattr(quality, "model", lambda learn: counted.append(sorted(r.text for r in learn.select("text").collect())) or plain(learn))
+    out = quality.classify(docs, labels)
+    assert counted == [sorted(r.text for r in docs.where("doc_id % 100 < 98").collect())]
+    assert out.count() == 25_000
+
+
 def test_media_round_trip(spark, sf_dir):
     docs = spark.createDataFrame(list(enumerate([*plain.ODD, "x" * 64, "x" * 64, "y" * 65])), "doc_id long, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text"))
     out = {r.doc_id: r for r in media.media_report(docs).collect()}
