@@ -86,6 +86,18 @@ def test_language(spark):
     assert language.identify(odd.limit(0)).count() == 0
 
 
+def test_language_learns_whole_texts(spark):
+    """Every word of a long labelled text is learned; languages beyond the bound don't fail the query."""
+    words = [f"w{''.join(chr(97 + int(c)) for c in str(k))}z" for k in range(1000, 4000)]
+    long = spark.createDataFrame([(1, "aa", " ".join(words)), (2, "bb", "qrs")], "doc_id long, lang string, text string")
+    learned = dict(language.learn(long))
+    assert set(words) <= set(learned["aa"].decode().split()) and learned["bb"].strip() == b"qrs"
+    many = spark.range(language.LANGUAGES + 5).selectExpr("id AS doc_id", "concat('l', id) AS lang", "concat('abc ', id) AS text").unionByName(long.selectExpr("doc_id + 1000 AS doc_id", "'zz' AS lang", "text"))
+    names = [lang for lang, _ in language.learn(many)]
+    assert len(names) == language.LANGUAGES and "zz" in names
+    assert language.identify(many).count() == many.count()
+
+
 def plain_model(texts):
     """The same model from dictionaries."""
     order, size = quality.ORDER, quality.CLASSES

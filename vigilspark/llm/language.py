@@ -13,13 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices
 
-#: Labelled documents for each language, characters of a piece of each, languages.
-SAMPLE, PIECE, LANGUAGES = 64, 768, 200
+#: Labelled documents for each language, characters of all of them together, languages.
+SAMPLE, CHARS, LANGUAGES = 64, 192 << 10, 200
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -151,24 +151,30 @@ def remainder(docs_id="doc_id"):
     return F.crc32(F.col(docs_id).cast("string")) % 4
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, piece: int = PIECE) -> tuple[tuple[str, bytes], ...]:
-    """labelled (doc_id, lang, text), lang and text not null -> (language, text) of at most `sample` pieces each, all as long together.
+def learn(labelled: DataFrame, sample: int = SAMPLE, chars: int = CHARS, languages: int = LANGUAGES) -> tuple[tuple[str, bytes], ...]:
+    """labelled (doc_id, lang, text), lang and text not null -> (language, text) of at most `sample` whole texts each.
 
-    The pieces are those of the smallest hashes, cut at a hashed place; a count for each language first tells below which
-    hash there are enough, so that only few rows are ordered. The result goes to every task: it is at most LANGUAGES *
-    sample * piece characters.
+    The texts are those of the smallest hashes, each that still fits into `chars`; only a text longer than all of that is
+    cut, at a hashed place. A count for each language first tells below which hash there are enough, so that only few rows
+    are ordered. Of more than `languages` languages, those with the most labelled rows are learned, of equal ones the
+    first by name; texts in another one go to the nearest of these. The result goes to every task: it is at most
+    `languages` * `chars` characters.
     """
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return ()
     below = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(2**63 - 1, -(2**63) + 2**64 * 3 * sample / r.n)))])
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", F.lit(4))).where(F.col("h") <= below[F.col("lang")])
-    room = F.greatest(F.length("text") - piece, F.lit(0)) + 1
-    cut = hashed.select("lang", "h", "doc_id", F.col("text").substr((F.pmod(F.shiftright("h", 7), room) + 1).cast("int"), F.lit(piece)).alias("piece"))
-    ranked = cut.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "piece"))).alias("all")).select("lang", F.slice("all", 1, sample).alias("own"))
-    rows = sorted((r.lang, " ".join(x.piece for x in r.own)) for r in ranked.collect())
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    fitting = hashed.select("lang", "h", "doc_id", F.col("text").substr((F.pmod(F.shiftright("h", 7), room) + 1).cast("int"), F.lit(chars)).alias("piece"))
+    ranked = fitting.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "piece"))).alias("all"))
+
+    def add(own: Column, x: Column) -> Column:
+        size = own["size"] + F.length(x["piece"])
+        return F.when(size <= chars, F.struct(size.alias("size"), F.concat(own["text"], F.lit(" "), x["piece"]).alias("text"))).otherwise(own)
+
+    own = F.aggregate(F.slice("all", 1, sample), F.struct(F.lit(0).alias("size"), F.lit("").alias("text")), add)
+    rows = sorted((r.lang, r.text) for r in ranked.select("lang", own["text"].alias("text")).collect())
     raw = [(lang, np.frombuffer(t.encode(), np.uint8)) for lang, t in rows]
     texts = [(lang, folded(t, np.array([0, len(t)]))[0].tobytes()) for lang, t in raw]
     return tuple((lang, t) for lang, t in texts if t.strip())
