@@ -116,6 +116,25 @@ def test_reports(spark):
         report.generate(found, "pdf")
 
 
+def test_short_reports(spark):
+    docs = frame(spark, [("d/a.py", "pwd = qwerty\n<b> https://u:" + "p&q@h.example/<i>"), ("b.py", "azure storage account key = '" + "Ab1" * 29 + "A'")])
+    found, when = scan.scan_secrets(docs), datetime.datetime(2020, 1, 2)
+    text = report.generate_short(found, "JSON", when=when)
+    out, full = json.loads(text), json.loads(report.generate(found, "json", when=when))
+    assert text == json.dumps(out, indent=2, ensure_ascii=False) and out["findings"] == full["findings"]
+    assert out["summary"] == {k: v for k, v in full["summary"].items() if k != "severity_counts"}
+    root = ET.fromstring(report.generate_short(found, "xml", when=when))
+    assert set(root.attrib) == {"timestamp", "version"} and {x.tag for x in root} == {"File"} and root.find("Summary") is None
+    listed = {(f.get("path"), c.get("name"), m.text) for f in root for c in f for m in c}
+    assert listed == {(r.path, r.rule, r.match) for r in found.collect()}
+    md = report.generate_short(found, "md", when=when)
+    assert md.startswith("# 🔍 Secret Scan Report\n\n**Generated:** 2020-01-02T00:00:00\n\n## 📄 b.py\n- ") and "**Azure Storage Key** (" in md and "): [('account', 'key')]" in md
+    none = found.limit(0)
+    assert json.loads(report.generate_short(none, "json"))["findings"] == {} and len(ET.fromstring(report.generate_short(none, "xml"))) == 0
+    with pytest.raises(ValueError):
+        report.generate_short(found, "html")
+
+
 def test_config():
     c = config.normalized(config.parse("severity_threshold: high\nscan_types:\n  - llm\n  - odd\ncustom_patterns:\n  \"A b\": 'x+'\nentropy:\n  enabled: yes\n  threshold: 4\nexclude_paths:\n  - a/*\n# note\nother:\n"))
     assert (c.severity_threshold, c.scan_types, c.custom_patterns, c.entropy.enabled, c.entropy.threshold, c.exclude_paths) == ("HIGH", ["llm"], {"A b": "x+"}, True, 4.0, ["a/*"])

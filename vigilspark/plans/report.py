@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
+import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
@@ -165,3 +167,50 @@ def write(findings: DataFrame, kind: str, path: str, **options) -> str:
         f.write(first)
         f.writelines(pieces)
     return path
+
+
+def short_lines(findings: DataFrame, kind: str, when: datetime.datetime | None = None) -> Iterator[str]:
+    """The pieces of a string report: JSON without severity counts, compact Markdown, XML without summary and wrapper."""
+    kind, now = kind.lower(), _now(when).isoformat()
+    if kind not in ("json", "md", "xml"):
+        raise ValueError(f"Unknown report format: {kind}")
+    rows = _bodies(_rules_of_files(findings))
+    if kind == "json":
+        s = stats.scan_stats(findings).first()
+        head = {"metadata": {"timestamp": now, "version": VERSION, "tool": TOOL}, "summary": {"total_files": s.total_files, "total_secrets": s.total_secret_types, "total_matches": s.total_matches}}
+        yield json.dumps(head, indent=2)[:-2] + ',\n  "findings": {'
+        k = -1
+        for k, f in enumerate(rows):
+            one = {f.path: {r.rule: {"matches": _matches(r), "severity": r.severity, "count": len(r.matches)} for r in f.rules}}
+            body = json.dumps(one, indent=2, ensure_ascii=False)[2:-2]
+            yield (",\n" if k else "\n") + "\n".join("  " + x for x in body.split("\n"))
+        yield ("}" if k < 0 else "\n  }") + "\n}"
+    elif kind == "md":
+        yield f"# 🔍 Secret Scan Report\n\n**Generated:** {now}\n"
+        for f in rows:
+            yield f"\n## 📄 {f.path}" + "".join(f"\n- {MARKS[r.severity]} **{r.rule}** ({r.severity}): {_matches(r)}" for r in f.rules)
+    else:
+        yield f"<SecretScanReport timestamp={quoteattr(now)} version={quoteattr(VERSION)}"
+        k = -1
+        for k, f in enumerate(rows):
+            file = ET.Element("File", path=_writable(f.path))
+            for r in f.rules:
+                category = ET.SubElement(file, "Category", name=r.rule, severity=r.severity)
+                for m in r.matches:
+                    ET.SubElement(category, "Match").text = _writable(m)
+            ET.indent(file, "  ", level=1)
+            yield ("" if k else ">") + "\n  " + ET.tostring(file, encoding="unicode")
+        yield " />" if k < 0 else "\n</SecretScanReport>"
+
+
+def _matches(rule) -> list:
+    """A rule's matches, those of several groups as tuples."""
+    return [tuple(t) for t in rule.tuples] if rule.tuples[0] is not None else rule.matches
+
+
+def _writable(text: str) -> str:
+    return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "�", text)
+
+
+def generate_short(findings: DataFrame, kind: str, **options) -> str:
+    return "".join(short_lines(findings, kind, **options))
