@@ -7,6 +7,7 @@ import zlib
 import plain
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from vigilspark.llm import fingerprint, mixing, near_dup, packing, repeats, secret_scan
 
@@ -143,6 +144,19 @@ def test_fingerprints(spark, sf_dir):
     assert fingerprint.fingerprints(odd).count() == 4
 
 
+def test_fingerprints_of_short_texts(spark):
+    """Half-equal texts of 20 words get shares between 0 and 1; merged sketches of single shingles are those of the union, stand-ins or not."""
+    half = [(k, " ".join(f"w{k}x{j}" for j in range(10)), " ".join(f"v{k}x{j}" for j in range(10))) for k in range(300)]
+    texts = spark.createDataFrame([(k, f"{a} {b}", f"{a} {b[::-1]}") for k, a, b in half], "k long, a string, b string")
+    share = [r[0] for r in texts.select(fingerprint.likeness(fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b")))).collect()]
+    assert sum(0 < x < 1 for x in share) >= 0.9 * len(share) and abs(sum(share) / len(share) - 6 / 26) < 0.05
+    one = spark.createDataFrame([(a, b) for _, a, b in half], "a string, b string").selectExpr("substring_index(a, ' ', 5) AS a", "substring_index(b, ' ', 5) AS b")
+    a, b = (fingerprint.sketch(F.col(c)) for c in "ab")
+    low = [(r.m, sorted(r.x + r.y)) for r in one.select(fingerprint.merged(a, b).alias("m"), a.alias("x"), b.alias("y")).collect()]
+    top = (1 << 63) // fingerprint.SCALE
+    assert all(m == ([h for h in s if -top <= h < top] or s[:1]) for m, s in low)
+
+
 def test_repeats(spark, sf_dir):
     texts = plain.ODD + plain.sample(5, 60, 300) + ["ab" * 400, "ab" * 199, "z" * 401, "é" * 260]
     docs = frame(spark, texts)

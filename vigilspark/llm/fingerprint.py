@@ -3,7 +3,7 @@
 A fingerprint holds every hash of a 5-word shingle that lies below a fixed fraction of the hash range (1 in SCALE). Which
 hashes these are doesn't depend on the document, so fingerprints of any sizes can be merged by union, and shares of one
 in another estimate containment also between very unequal documents. A text with words but no hash below the threshold
-keeps its smallest hash, so that its fingerprint isn't empty.
+keeps its smallest hash, so that its fingerprint isn't empty; merged() drops it again where the union has one below.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS, SCALE = 5, 8
+WORDS, SCALE = 5, 2
 #: Successors of ids are found in ranges of 2**STEP_BITS ids, then among the ranges, and so on.
 STEP_BITS = 16
 #: Neighbouring documents meet in ranges of 2**RANGE_BITS ids.
@@ -34,13 +34,15 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
         many = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
         return F.when(n >= words, many).when(n > 0, F.array(F.xxhash64(h, F.lit(1)))).otherwise(F.array().cast("array<long>"))
 
-    def kept(s: Column) -> Column:
-        top = (1 << 63) // scale
-        low = F.filter(s, lambda x: (x >= -top) & (x < top))
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(low)
-
     # each let() keeps a long expression from being computed again where it is named twice
-    return _let(_let(hashed, shingles), kept)
+    return _let(_let(hashed, shingles), lambda s: _kept(s, scale))
+
+
+def _kept(s: Column, scale: int) -> Column:
+    """The distinct hashes below the threshold, sorted; the smallest of all if there are none."""
+    top = (1 << 63) // scale
+    low = F.filter(s, lambda x: (x >= -top) & (x < top))
+    return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(low)
 
 
 def _let(value: Column, body) -> Column:
@@ -63,8 +65,9 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def merged(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of all shingles of both."""
+    return _let(F.array_union(a, b), lambda s: _kept(s, scale))
 
 
 def successors(ids: DataFrame, bits: int = 64) -> DataFrame:
