@@ -146,7 +146,11 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret in text replaced by <kind>, and n_chars, if there, counted again where text changed; all rows and columns stay."""
+    """docs with every secret in text replaced by <kind>, and n_chars, if there, counted again where text changed.
+
+    All rows, also repeated ones, and all columns stay, with their types; null and empty texts stay as they are. An empty
+    table gives an empty one.
+    """
     compiled = scanner(rules)
     columns = docs.columns
 
@@ -172,7 +176,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             for d, t in changed.items():
                 sizes[d] = len(t)
             new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
-        return pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(columns)], names=columns)
+        return pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(columns)], schema=batch.schema)
 
     return map_slices(docs, kernel, docs.schema)
 
