@@ -9,11 +9,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel looks at in one go; its scratch arrays are some 30 times that.
 SLICE_BYTES = 2 << 20
 #: Bytes and rows that the JVM puts into one Arrow batch.
 BATCH_BYTES, BATCH_ROWS = "16m", "4000"
+#: A key of fewer rows is never dealt over several tasks.
+LEAST_HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +43,26 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """counts (key, n) of `total` rows -> (__key, __salts) of the keys that have more rows than an average shuffle partition, None if there are none.
+
+    There can't be more of them than shuffle partitions, so they may be broadcast.
+    """
+    most = max(LEAST_HOT, total // int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = cut(counts.where(F.col("n") > most).select(F.col(key).alias("__key"), F.ceil(F.col("n") / most).cast("int").alias("__salts")))
+    return None if hot.isEmpty() else hot
+
+
+def join_dealt(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined (inner, left or left_semi) to `one`, which has a row for each key; the rows of a hot key are dealt over several tasks, with a copy of its row of `one` for each."""
+    if hot is None:
+        return rows.join(one, key, how)
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("__key", "__salts")
+    copies = one.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__key", "__salts")
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column (null: empty) and the offsets of its rows in them; no copy."""
     if isinstance(column, pa.ChunkedArray):

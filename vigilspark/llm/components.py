@@ -31,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        children = now.groupBy("u").agg(F.count("*").alias("n"))
-        roots = now.select(F.col("v").alias("u")).distinct()
-        if children.where("n > 1").isEmpty() and children.join(roots, "u", "left_semi").isEmpty():
+        # done once every node has a single link, to a node that has none
+        ends = now.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("top")))))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or (up = 1 and top = 1)").isEmpty():
             break
         now = cut(_small_star(_large_star(now)))
         release(now)

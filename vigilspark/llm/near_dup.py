@@ -5,13 +5,15 @@ second is read at k places shifted by 1, 2, ... k, so that all coordinates of on
 fixed table. A signature is the minimum of such slices over the shingles of a document. BANDS bands of ROWS coordinates
 each bring documents together; at the threshold of 0.8, a pair shares no band with a chance of (1 - 0.8**5)**36 = 6e-7.
 
-Documents with equal shingle sets are one node. First, each node is held against the smallest node in any of its
-buckets. Then, in each bucket that isn't connected yet, all nodes outside the component of the bucket's smallest node
-(its pivot) are held against that one, which then leaves the bucket. What still lies in different components is compared
-in full: in a small bucket by pairs, in a larger one inside tasks of bounded groups that emit verified links only. There,
-a node is held against the others until it has a link to their component. So no link between different texts that share a
-band is lost, and none is kept without the exact Jaccard check on full sets; the work is linear in the bucket sizes but
-for nodes that have no link there.
+Documents with equal shingle sets (by 128 bits) are one node. First, each node is held against the smallest node in any
+of its buckets. Then, in each bucket that isn't connected yet, all nodes outside the component of the bucket's smallest
+node (its pivot) are held against that one, which then leaves the bucket. Buckets that still hold several components are
+compared by pairs if they are small. From larger ones, those nodes go first that can't have a partner: with all shingles
+in one order, rare ones first, two sets of the wanted similarity have one in common among the first 20 % of each, so that
+nodes which share a bucket but differ in their rare shingles are left out by ids alone. What stays and lies in different
+components is compared by pairs in small buckets, and in larger ones inside bounded tasks that emit verified links only.
+So no link between different texts that share a band is lost, and none is kept without the exact Jaccard check on full
+sets. A bucket or shingle with more rows than an average partition is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, release
+from .common import cut, hot_keys, join_dealt, map_slices, release
 from .components import components
 from .shingles import mix, shingle_hashes, word_hashes
 
@@ -79,39 +81,56 @@ def _node(own: np.ndarray) -> int:
         return int(mix(mix(own + np.uint64(0x1234567)).sum(keepdims=True) + np.uint64(len(own))).view(np.int64)[0])
 
 
+def _check(own: np.ndarray) -> int:
+    """A second hash of the whole set, independent of the first."""
+    with np.errstate(over="ignore"):
+        return int(mix(mix(own ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(keepdims=True) ^ np.uint64(0x0123456789ABCDEF)).view(np.int64)[0])
+
+
 def sketches(docs: DataFrame, words: int = 2, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, mark, n_shingles, node, bands); mark is a hash of the text; node and bands are null for a document without shingles."""
+    """docs (doc_id, text) -> (doc_id, mark, n_shingles, node, bands, check); mark is a hash of the text; node, bands and check are null for a document without shingles."""
 
     def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        size, nodes, signed = [], [], []
+        size, nodes, checks, signed = [], [], [], []
         for own in _sets(data, at, words):
             size.append(len(own))
             nodes.append(_node(own) if len(own) else None)
+            checks.append(_check(own) if len(own) else None)
             if len(own):
                 signed.append(signature(own, rows * bands))
         keys = _bands(np.array(signed), rows).ravel() if signed else np.zeros(0, np.int64)
         full = np.array(size) > 0
         ends = np.concatenate([[0], np.cumsum(full) * bands]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "mark", "n_shingles", "node", "bands"])
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys), mask=pa.array(~full))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(checks, pa.int64())], names=["doc_id", "mark", "n_shingles", "node", "bands", "check"])
 
-    return map_slices(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), kernel, "doc_id long, mark long, n_shingles long, node long, bands array<long>")
+    return map_slices(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), kernel, "doc_id long, mark long, n_shingles long, node long, bands array<long>, check long")
+
+
+def told_apart(signed: DataFrame) -> DataFrame:
+    """signed (node, check, ...) with nodes of their own for sets that differ, by check, from another set with the same node."""
+    clash = cut(signed.where("node is not null").groupBy("node").agg(F.min("check").alias("first"), F.max("check").alias("last")).where("first < last").select("node", "first"))
+    if clash.isEmpty():
+        return signed
+    met = signed.join(clash, "node", "left")
+    other = F.col("first").isNotNull() & (F.col("check") != F.col("first"))
+    return cut(met.withColumn("node", F.when(other, F.xxhash64("node", "check")).otherwise(F.col("node"))).select(signed.columns))
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, words: int = 2) -> DataFrame:
-    """wanted (doc_id, node), a document for each node -> (node, set), read again from the texts."""
+    """wanted (doc_id, node, check), a document for each node -> (node, set), read again from the texts."""
 
     def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         node, sets = [], []
-        for want, own in zip(batch.column(0).to_pylist(), _sets(data, at, words), strict=True):
-            if len(own) and _node(own) == want:  # another row may have the same doc_id
-                node.append(want)
+        for n, want, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(data, at, words), strict=True):
+            if len(own) and _check(own) == want:  # another row may have the same doc_id
+                node.append(n)
                 sets.append(own.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "w"), F.col("doc_id").eqNullSafe(F.col("w"))).select("node", "text")
+    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "w"), F.col("doc_id").eqNullSafe(F.col("w"))).select("node", "check", "text")
     return map_slices(texts, kernel, "node long, set array<long>").dropDuplicates(["node"])
 
 
@@ -124,18 +143,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").where(near).select("u", "v")
 
 
-def _pivot_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (key, node, root): each bucket's pairs with its smallest node, outside that one's component; what is left without it."""
-    pivot = members.groupBy("key").agg(F.min(F.struct("node", "root")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("proot"))
-    rest = members.join(pivot, "key").where("node != pivot")
-    pairs = rest.where("root != proot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    return pairs, rest.select("key", "node", "root")
+def _open(members: DataFrame) -> DataFrame:
+    """members (key, node, root) -> the rows of keys with several roots, with the key's smallest node as pivot, that one's root as proot, and how many rows there are as n. Of keys that have the same nodes, one is left."""
+    told = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.min_by("root", "node").alias("proot"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("nodes"))
+    told = cut(told.where("lo < hi").groupBy("n", "pivot", "proot", "nodes").agg(F.min("key").alias("key")).select("key", "n", "pivot", "proot"))
+    total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return cut(join_dealt(members, told, "key", hot_keys(told, "key", total)))
+
 
+def prefix_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes (node, root), distinct -> (key, node, root): each node under the shingles of its prefix, in the order of rare ones first.
 
-def _first_pairs(members: DataFrame) -> DataFrame:
-    """A pair for each node at most: with the smallest node of all its buckets."""
-    least = members.groupBy("key").agg(F.min("node").alias("v"))
-    return members.join(least, "key").groupBy(F.col("node").alias("u")).agg(F.min("v").alias("v")).where("u != v")
+    Two sets with 100 * intersection >= percent * union have a key in common: all but ceil(percent %) of a set's shingles,
+    and one more, are in its prefix. Shingles of a single node come first in the order and are left out.
+    """
+    rows = nodes.join(sets, "node").select("node", "root", F.size("set").cast("long").alias("size"), F.explode("set").alias("key"))
+    common = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    total = common.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = join_dealt(rows, common, "key", hot_keys(common, "key", total))
+    own = met.groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rest = (prefix - (F.col("size") - F.size("shared"))).cast("int")
+    return own.where(rest > 0).select("node", "root", F.explode(F.slice("shared", F.lit(1), rest)).alias("s")).select("s.key", "node", "root")
 
 
 def _all_pairs(left: DataFrame) -> DataFrame:
@@ -193,38 +222,38 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
     Null, empty or blank texts have no shingles, a null node and root, and are linked with nothing. Rows with equal
     sets have one node, whatever their doc_id; repeated and null doc_ids are rows of their own.
     """
-    signed = cut(sketches(docs, words, rows, bands))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = cut(keys.join(shared, "key"))
-    wanted = signed.where("node is not null").select("doc_id", "node").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "node")
+    signed = told_apart(cut(sketches(docs, words, rows, bands)))
+    own = signed.where("node is not null")
+    shared = cut(own.select("node", F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most"))
+    hot = hot_keys(shared, "key", shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    keys = own.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+    members = cut(join_dealt(keys, shared.drop("n"), "key", hot))
+    wanted = own.select("doc_id", "node", "check").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("check")).select("doc_id", "node", "check")
     sets = cut(node_sets(docs, cut(wanted), words))
     release(sets)
-    links = None
-    left = members.withColumn("root", F.col("node"))
-    for turn in range(PIVOTS + 2):
-        if turn == 0:
-            found = _verified(_first_pairs(members), sets, percent)
-        elif turn <= PIVOTS:
-            pairs, left = _pivot_pairs(left)
-            found = _verified(pairs, sets, percent)
-        else:
-            sized = left.join(left.groupBy("key").agg(F.count("*").alias("n")), "key")
-            few = _verified(_all_pairs(sized.where(F.col("n") <= SMALL).drop("n")), sets, percent)
-            found, left = few.union(_bucket_links(sized.where(F.col("n") > SMALL), sets, percent)), None
-        found = cut(found)
-        links = found if links is None else cut(links.union(found))
-        roots = cut(components(links))
+    # each node and the smallest of all its buckets
+    links = cut(_verified(members.groupBy(F.col("node").alias("u")).agg(F.min("least").alias("v")).where("u != v"), sets, percent))
+    roots = cut(components(links))
+    left = members.select("key", "node")
+    for turn in range(PIVOTS + 1):
         release(roots)
-        if left is None:
-            break
-        left = left.drop("root").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_ = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        left = cut(left.join(open_, "key", "left_semi"))
+        left = _open(left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
         if left.isEmpty():
             break
-    return signed.drop("bands").join(roots, "node", "left").select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
+        if turn < PIVOTS:
+            found = _verified(left.where("root != proot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), sets, percent)
+            left = left.where("node != pivot").select("key", "node")
+        else:
+            small = F.col("n") <= SMALL
+            found = _verified(_all_pairs(left.where(small).select("key", "node", "root")), sets, percent)
+            large = left.where(~small).select("key", "node", "root")
+            partners = _open(prefix_members(large.select("node", "root").distinct(), sets, percent)).select("node").distinct()
+            again = _open(large.join(partners, "node", "left_semi"))
+            found = found.union(_verified(_all_pairs(again.where(small).select("key", "node", "root")), sets, percent))
+            found = found.union(_bucket_links(again.where(~small).select("key", "node", "root", "n"), sets, percent))
+        links = cut(links.union(found))
+        roots = cut(components(links))
+    return signed.drop("bands", "check").join(roots, "node", "left").select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -246,8 +275,11 @@ def keep_one(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     All columns stay as they are. Rows without shingles all stay. Of rows that repeat a kept doc_id within a group, one stays.
     """
     rows = linked(docs, words, percent)
-    chosen = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("c")).select(F.col("c.doc_id").alias("__kept"), F.col("c.mark").alias("__mark"), F.col("root").alias("__root"))
+    chosen = cut(rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("c")).select(F.col("c.doc_id").alias("__kept"), F.col("c.mark").alias("__mark"), F.col("root").alias("__root")))
     marked = docs.withColumn("__blank", ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
     same = F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.xxhash64("text") == F.col("__mark"))
-    kept = marked.where("not __blank").join(chosen, same).dropDuplicates(["__root"])
-    return kept.select(docs.columns).unionByName(marked.where("__blank").select(docs.columns))
+    kept = marked.join(chosen, same, "left").where("__blank or __root is not null")
+    again = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("i"), F.col("mark").alias("m"))
+    if not again.join(chosen, F.col("i").eqNullSafe(F.col("__kept")) & (F.col("m") == F.col("__mark"))).isEmpty():
+        kept = kept.where("__blank").unionByName(kept.where("not __blank").dropDuplicates(["__root"]))
+    return kept.select(docs.columns)
