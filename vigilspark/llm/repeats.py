@@ -4,11 +4,12 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 the windows (strings of LENGTH bytes) of a text fall into blocks of consecutive ones that have the same anchor, the
 leftmost smallest hash of their GRAM-byte strings. Equal windows have the same anchor at the same place, so
   - a block whose anchor occurs once in all texts has no repeated window;
-  - a block with the same bytes as another one has repeated windows only;
+  - a block with the same bytes as another one has repeated windows only; the 128-bit BLAKE2 digest of the bytes tells;
   - of the rest, one block of each content meets the others of its anchor, and the suffixes at its windows are sorted:
     multikey quicksort on 8-byte characters to a shallow depth, then a blind trie for each group that is equal so far.
-An anchor with many different blocks is split into salted groups of bounded size, and the windows that are single in
-their group are counted over all groups by a 128-bit hash, with partial sums before the shuffle.
+Blocks that repeat within a text, as in periodic ones, leave it as runs and one block of each content. An anchor with
+many different blocks is split into salted groups of bounded size, and the windows that are single in their group are
+counted over all groups by a 128-bit hash, with partial sums before the shuffle. Texts go by their 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, binary_buffers, bound_batches, cut, map_slices
+from .common import SLICE_BYTES, binary_buffers, bound_batches, cut, hot_keys, join_dealt, map_slices
 from .shingles import _BYTE, mix
 
 LENGTH, GRAM = 400, 128
@@ -58,10 +59,10 @@ def _running_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def find_blocks(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Document, first and last window start (within it), distance from the first to the anchor, anchor's hash and content's hash of each block."""
+    """Document, first and last window start (within the slice) and anchor's hash of each block; blocks of equal bytes have the same anchor at the same place."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none, none
+        return none, none, none, none
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _pow(_BASE, len(data))[: len(data)], out=sums[1:])
@@ -75,16 +76,42 @@ def find_blocks(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: in
     valid = np.arange(len(anchor)) + length <= at[1:][doc]
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return none, none, none, none, none, none
+        return none, none, none, none
     key = anchor[starts]
     head = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[starts][1:] != doc[starts][:-1])])
     s0 = starts[head]
     s1 = starts[np.concatenate([np.flatnonzero(head)[1:] - 1, [len(starts) - 1]])]
-    a = key[head]
-    with np.errstate(over="ignore"):
-        content = mix((sums[s1 + length] - sums[s0]) * back[s0] + (s1 - s0).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (a - s0).astype(np.uint64))
-    d = doc[s0]
-    return d, s0 - at[d], s1 - at[d], a - s0, grams[a].view(np.int64), content.view(np.int64)
+    return doc[s0], s0, s1, grams[key[head]].view(np.int64)
+
+
+def block_rows(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[list[np.ndarray], list[bytes]]:
+    """Document, first and last window start (within it), anchor and number n of blocks, and their contents' digests.
+
+    A content that a text has several times is one row with their number; runs of such blocks are rows too, with the
+    anchor of their first, n of 0 and an empty digest: all of their windows are repeated.
+    """
+    d, s0, s1, anchor = find_blocks(data, at, length, gram)
+    raw, ends = memoryview(data.tobytes()), (s1 + length).tolist()
+    content = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(s0.tolist(), ends, strict=True)]
+    count = np.ones(len(d), np.int64)
+    key = anchor.view(np.uint64) ^ mix(d.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    if len(same):  # anchors that a text has several times
+        first: dict[tuple[int, bytes], int] = {}
+        for i in np.unique(order[np.concatenate([same, same + 1])]).tolist():
+            one = first.setdefault((int(d[i]), content[i]), i)
+            if one != i:
+                count[one] += 1
+                count[i] = 0
+        on = np.flatnonzero(count != 1)
+        apart = np.concatenate([[True], (np.diff(on) > 1) | (d[on][1:] != d[on][:-1])]) if len(on) else np.zeros(0, bool)
+        heads = on[apart]
+        tails = on[np.append(np.flatnonzero(apart)[1:], len(on)) - 1] if len(on) else heads
+        keep = np.flatnonzero(count > 0)
+        content = [content[i] for i in keep.tolist()] + [b""] * len(heads)
+        d, s0, s1, anchor, count = (np.concatenate([x[keep], y]) for x, y in ((d, d[heads]), (s0, s0[heads]), (s1, s1[tails]), (anchor, anchor[heads]), (count, np.zeros(len(heads), np.int64))))
+    return [d, s0 - at[d], s1 - at[d], anchor, count], content
 
 
 class BlindTrie:
@@ -168,7 +195,8 @@ def _equal_windows(rows: pa.Table, length: int) -> pa.RecordBatch:
     at = {n: k for k, n in enumerate(rows.column_names)}
     column = lambda n: rows.column(at[n]).to_numpy()
     data, ends = binary_buffers(rows.column(at["content"]))
-    anchor, salt, mark, s0, split = (column(n) for n in ("anchor", "salt", "mark", "s0", "split"))
+    anchor, salt, s0, split = (column(n) for n in ("anchor", "salt", "s0", "split"))
+    mark = rows.column(at["mark"])
     group = np.cumsum(np.concatenate([[False], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]))
     count = column("s1") - s0 + 1
     block = np.repeat(np.arange(len(count)), count)
@@ -184,7 +212,7 @@ def _equal_windows(rows: pa.Table, length: int) -> pa.RecordBatch:
 
     def digest(i: int) -> None:
         b = int(begins[i])
-        hashed.append((int(mark[block[i]]), int(s0[block[i]] + step[i]), hashlib.blake2b(raw[b : b + length], digest_size=16).digest()))
+        hashed.append((int(block[i]), int(s0[block[i]] + step[i]), hashlib.blake2b(raw[b : b + length], digest_size=16).digest()))
 
     for i in np.flatnonzero(~often & split[block]).tolist():
         digest(i)
@@ -203,11 +231,11 @@ def _equal_windows(rows: pa.Table, length: int) -> pa.RecordBatch:
     heads = np.flatnonzero(first)
     tails = np.append(heads[1:], len(on)) - 1 if len(on) else heads
     start = s0[block] + step
-    marks = mark[block[on[heads]]].tolist() + [m for m, _, _ in hashed]
+    marks = mark.take(pa.array(block[on[heads]].tolist() + [m for m, _, _ in hashed], pa.int64()))
     low = start[on[heads]].tolist() + [s for _, s, _ in hashed]
     high = start[on[tails]].tolist() + [s for _, s, _ in hashed]
     hashes = [None] * len(heads) + [h for _, _, h in hashed]
-    return pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(hashes, pa.binary())], names=["mark", "s0", "s1", "hash"])
+    return pa.RecordBatch.from_arrays([marks.combine_chunks(), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(hashes, pa.binary())], names=["mark", "s0", "s1", "hash"])
 
 
 def _sorter(length: int):
@@ -249,30 +277,37 @@ def _cuts(rows: pa.Table, anchor: np.ndarray, salt: np.ndarray, end: int) -> Ite
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs (mark, text), mark a hash of the text -> (mark, s0, s1): ranges of window starts that are repeated."""
-
-    def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        d, s0, s1, before, anchor, content = find_blocks(data, at, length, gram)
-        mark = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[d]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (mark, s0, s1, anchor, content)], names=["mark", "s0", "s1", "anchor", "content_hash"])
-
-    rows = map_slices(docs, kernel, "mark long, s0 long, s1 long, anchor long, content_hash long")
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    hot = cut(rows.join(often, "anchor", "left_semi"))
-    kinds = hot.groupBy("anchor", "content_hash").agg(F.count("*").alias("n"), F.min(F.struct("mark", "s0", "s1")).alias("one"))
-    sure = hot.join(kinds.where("n > 1").select("anchor", "content_hash"), ["anchor", "content_hash"], "left_semi").select("mark", "s0", "s1")
+    """docs (mark, text), mark a 128-bit hash of the text -> (mark, s0, s1): ranges of window starts that are repeated."""
+
+    def blocks(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        (d, *rest), content = block_rows(data, at, length, gram)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), *(pa.array(x.astype(np.int64)) for x in rest), pa.array(content, pa.binary())], names=["mark", "s0", "s1", "anchor", "n", "content"])
+
+    def anchors(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(find_blocks(data, at, length, gram)[3])], names=["anchor"])
+
+    rows = map_slices(docs, blocks, "mark binary, s0 long, s1 long, anchor long, n long, content binary")
+    often = cut(map_slices(docs, anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    busy = hot_keys(often, "anchor", often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hot = cut(join_dealt(rows, often.select("anchor"), "anchor", busy, "left_semi"))
+    runs, hot = hot.where("n = 0").select("mark", "s0", "s1"), hot.where("n > 0")
+    kinds = cut(hot.groupBy("content").agg(F.sum("n").alias("n"), F.min(F.struct("mark", "s0", "s1", "anchor")).alias("one")))
+    many = kinds.where("n > 1").select("content", "n")
+    sure = join_dealt(hot.select("mark", "s0", "s1", "content"), many.select("content"), "content", hot_keys(many, "content", hot.count()), "left_semi").select("mark", "s0", "s1").union(runs)
     # anchors with a block that has no equal, and more than one kind of block
-    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
-    meet = kinds.join(open_, "anchor").select("anchor", "kinds", "one.*")
+    met = kinds.select("one.*", "n")
+    open_ = cut(met.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds"))
+    full = hot_keys(open_.withColumnRenamed("kinds", "n"), "anchor", open_.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0])
+    meet = join_dealt(met.drop("n"), open_, "anchor", full)
     per_doc = meet.groupBy("mark").agg(F.collect_list(F.struct("anchor", "kinds", "s0", "s1")).alias("blocks"))
-    texts = per_doc.join(docs, "mark").dropDuplicates(["mark"])
+    texts = per_doc.join(docs.dropDuplicates(["mark"]), "mark")
     raw = texts.select("mark", F.col("text").cast("binary").alias("raw"), F.explode("blocks").alias("b"))
     bytes_ = raw.select("mark", "b.*", F.expr(f"substring(raw, cast(b.s0 + 1 as int), cast(b.s1 - b.s0 + {length} as int))").alias("content"))
     salts = F.ceil(F.col("kinds") / GROUP)
     groups = bytes_.withColumn("split", salts > 1).withColumn("salt", F.pmod(F.xxhash64("mark", "s0"), salts)).drop("kinds")
     bound_batches(docs.sparkSession)
     ordered = groups.select("anchor", "salt", "mark", "s0", "s1", "split", "content").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found = cut(ordered.mapInArrow(_sorter(length), "mark long, s0 long, s1 long, hash binary"))
+    found = cut(ordered.mapInArrow(_sorter(length), "mark binary, s0 long, s1 long, hash binary"))
     across = found.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     more = found.where("hash is null").union(found.join(across, "hash", "left_semi").select(found.columns)).select("mark", "s0", "s1")
     return sure.union(more)
@@ -304,7 +339,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Null texts are empty; texts under `length` bytes lose nothing; rows with equal texts, of whatever doc_id, lose all
     that is at least so long. An empty table gives an empty one.
     """
-    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.unhex(F.md5("text")))
+    copies = hot_keys(marked.groupBy("mark").agg(F.count("*").alias("n")), "mark", docs.count())
     ranges = repeated_starts(marked.select("mark", "text"), length, gram)
     per_doc = ranges.distinct().groupBy("mark").agg(F.collect_list(F.struct("s0", "s1")).alias("starts"))
 
@@ -318,5 +354,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 out[k].append(v)
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items())], names=["doc_id", *out])
 
-    met = marked.join(per_doc, "mark", "left").select("doc_id", "text", "starts")
+    met = join_dealt(marked, per_doc, "mark", copies, "left").select("doc_id", "text", "starts")
     return map_slices(met, kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
