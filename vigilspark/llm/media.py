@@ -2,7 +2,8 @@
 
 parse() turns HTML into an ordered array of structs, a text or a reference with its caption, without loss of position;
 resolve() joins the references to stored payloads by digest and puts them back at their positions. store() keeps any
-payload as 8-bit samples of a PCM wave file, in units of FRAME bytes, and describe() reads it back for its features.
+payload as 8-bit samples of a PCM wave file, in units of FRAME bytes, once for each digest, and describe() reads it back
+for its features.
 """
 
 from __future__ import annotations
@@ -15,14 +16,12 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices
+from .common import batch_of, cut, hot_keys, join_dealt, map_slices
 
 FRAME, RATE = 64, 8000
-#: Tasks over which the positions of a reference that many documents share are dealt.
-SALTS = 32
 ITEM = "struct<pos: int, kind: string, text: string, ref: string, caption: string>"
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "media", "embed": "media", "object": "media", "iframe": "media"}
 _HIDDEN = ("script", "style", "template", "noscript")
@@ -95,36 +94,41 @@ def sequence(html: str) -> list[dict]:
     return parser.items
 
 
-def parse(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+def parse(pages: DataFrame, html: str = "html", key: str = "page_id", more: str | None = None) -> DataFrame:
     """pages (key, html) -> (key, items array<struct<pos, kind, text, ref, caption>>), in order of appearance; null or empty: none.
 
-    A caption is the figure's figcaption, else alt or title. Rows that repeat a key are sequences of their own.
+    A caption is the figure's figcaption, else alt or title. Rows that repeat a key are sequences of their own. more: a
+    string column that comes along, between key and items.
     """
+    along = [more] if more else []
 
     def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         whole = data.tobytes()
         rows = [sequence(whole[at[d] : at[d + 1]].decode("utf-8", "replace")) for d in range(len(at) - 1)]
         kind = pa.list_(pa.struct([("pos", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "ref", "caption"))]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[key, "items"])
+        return batch_of(batch, [key, *along], items=pa.array(rows, kind))
 
-    return map_slices(pages.select(key, html), kernel, f"{key} long, items array<{ITEM}>", text=html)
+    schema = ", ".join([f"{key} {pages.schema[key].dataType.simpleString()}", *[f"{c} string" for c in along], f"items array<{ITEM}>"])
+    return map_slices(pages.select(key, html, *along), kernel, schema, text=html)
 
 
-def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """sequences (key, items), media (digest, ...) -> (key, items) with what media has of each reference's digest added to the item as `media`.
+def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id", kind: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """sequences (key, items) -> (key, items) with what media (digest, ...) has of each reference's digest added to the item as `media`.
 
-    A reference is a digest; unknown ones keep a null `media`. Of rows that repeat a digest, the smallest is taken.
-    References, not texts, meet the payloads; a digest that many documents share is dealt over SALTS copies of its row.
+    A reference is a digest; unknown ones keep a null `media`. Of rows that repeat a digest, the smallest is taken. kind
+    restricts the join to items of that kind; the columns in more come along. References, not texts, meet the payloads; a
+    digest that many documents share is dealt over SALTS copies of its row.
     """
     rows = sequences.withColumn("__row", F.monotonically_increasing_id())
     kept = cut(rows)  # ids stay the same if a task is run again
     others = [c for c in media.columns if c != "digest"]
     one = media.groupBy("digest").agg(F.min(F.struct(*others)).alias("media"))
-    salted = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    refs = kept.select("__row", F.explode("items").alias("i")).where("i.ref is not null").select("__row", F.col("i.pos").alias("pos"), F.col("i.ref").alias("digest"), F.pmod(F.xxhash64("__row", "i.pos"), F.lit(SALTS)).cast("int").alias("__salt"))
-    met = refs.join(salted, ["digest", "__salt"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "media"))).alias("__media"))
+    wanted = F.col("i.ref").isNotNull() & (F.lit(True) if kind is None else F.col("i.kind") == kind)
+    refs = kept.select("__row", F.explode("items").alias("i")).where(wanted).select("__row", F.col("i.pos").alias("pos"), F.col("i.ref").alias("digest"))
+    hot = hot_keys(refs.groupBy("digest").agg(F.count("*").alias("n")), "digest", refs.count())
+    met = join_dealt(refs, one, "digest", hot).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "media"))).alias("__media"))
     added = F.transform("items", lambda i: i.withField("media", F.col("__media")[i["pos"]]))
-    return kept.join(met, "__row", "left").select(key, added.alias("items"))
+    return kept.join(met, "__row", "left").select(key, added.alias("items"), *more)
 
 
 def padded(raw: bytes) -> bytes:
@@ -157,20 +161,22 @@ def feature(payload: bytes) -> str:
     return f"{x.mean() + 128:.4f},{np.sqrt((x * x).mean()):.4f},{np.count_nonzero(above[1:] != above[:-1]) / max(1, len(x) - 1):.6f}"
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_bytes, media binary), a row for each row; a null text is empty. Lossless; equal texts give equal files."""
+def store(payloads: DataFrame) -> DataFrame:
+    """payloads (digest, text) -> (digest, n_bytes, media binary), a file for each row; a null text is empty. Lossless; equal texts give equal files."""
 
     def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         whole = data.tobytes()
         files = [to_wave(padded(whole[at[d] : at[d + 1]])) for d in range(len(at) - 1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(files, pa.binary())], names=["digest", "n_bytes", "media"])
 
-    return map_slices(docs.select("doc_id", "text"), kernel, "doc_id long, n_bytes long, media binary")
+    return map_slices(payloads.select("digest", "text"), kernel, "digest string, n_bytes long, media binary")
+
+
+_TOLD = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def describe(stored: DataFrame) -> DataFrame:
-    """stored (doc_id, n_bytes, media) -> (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), read back from the files."""
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """stored (digest, n_bytes, media) -> (digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), read back from the files."""
 
     def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         whole, rows = data.tobytes(), []
@@ -180,20 +186,41 @@ def describe(stored: DataFrame) -> DataFrame:
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(file), hashlib.sha256(file).hexdigest(), feature(payload)))
         columns = list(zip(*rows, strict=True))
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[x.split()[0] for x in kinds.split(", ")])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["digest", *(x.split()[0] for x in _TOLD.split(", "))])
+
+    return map_slices(stored, kernel, f"digest string, {_TOLD}", text="media")
+
+
+def digest(text: Column) -> Column:
+    """What a payload goes by: the SHA-256 of its bytes; null: of none."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
 
-    return map_slices(stored, kernel, kinds, text="media")
+def with_payload(sequences: DataFrame, payload: Column) -> DataFrame:
+    """sequences (key, items) with a last item of kind `payload` that refers to the document's own stored file."""
+    own = F.struct(F.size("items").alias("pos"), F.lit("payload").alias("kind"), F.lit(None).cast("string").alias("text"), payload.alias("ref"), F.lit(None).cast("string").alias("caption"))
+    return sequences.withColumn("items", F.array_append("items", own.cast(ITEM)))
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> the description of each row's stored payload, met by digest.
+    """docs (doc_id, text) -> the description of each row's stored payload, met by digest, with the outline of its sequence.
 
-    Each document is a sequence of one reference, the digest of its file; the files' descriptions are a row for each
-    digest, joined back to the references. Null and empty texts are one frame of zeros. Rows that repeat a doc_id are
+    Every text is parsed as HTML to a sequence of texts and references, to which the reference to its own payload is
+    added; each different payload is stored and described once; the references meet the files by digest. n_items and
+    n_media tell of the parsed items; sequence_sha256 is the digest of their positions, kinds, texts, references,
+    captions. Null and empty texts have no items and one frame of zeros as payload. Rows that repeat a doc_id are
     documents of their own. An empty table gives an empty one.
     """
-    described = cut(describe(store(docs)))
-    held = [c for c in described.columns if c not in ("doc_id", "n_bytes", "media_sha256")]
-    files = described.select("media_sha256", *held).dropDuplicates(["media_sha256"])
-    refs = described.select("doc_id", "n_bytes", "media_sha256")
-    return refs.join(files, "media_sha256").select(described.columns)
+    keyed = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
+    files = describe(store(keyed.select("digest", "text").dropDuplicates(["digest"])))
+    parsed = parse(keyed, html="text", key="doc_id", more="digest")
+    # what is written and sent are outlines: texts of items stay behind their digests
+    line = lambda i: F.concat_ws("\x1f", i["pos"].cast("string"), i["kind"], F.coalesce(i["text"], F.lit("")), F.coalesce(i["ref"], F.lit("")), F.coalesce(i["caption"], F.lit("")))
+    told = parsed.select(
+        "doc_id", "digest", F.transform("items", lambda i: i.withField("text", F.lit(None).cast("string"))).alias("items"),
+        F.size("items").cast("long").alias("n_items"), F.size(F.filter("items", lambda i: i["ref"].isNotNull())).cast("long").alias("n_media"),
+        F.sha2(F.array_join(F.transform("items", line), "\x1e"), 256).alias("sequence_sha256"),
+    )
+    met = resolve(with_payload(told, F.col("digest")), files, key="doc_id", kind="payload", more=("n_items", "n_media", "sequence_sha256"))
+    own = F.element_at("items", -1)["media"]
+    return met.select("doc_id", *[own[x.split()[0]].alias(x.split()[0]) for x in _TOLD.split(", ")], "n_items", "n_media", "sequence_sha256")
