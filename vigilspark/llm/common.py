@@ -39,18 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Shuffle files and checkpoints of earlier rounds go once nothing refers to them and both sides have collected their garbage; a long loop would pile them up."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round tells the JVM which of Python's references are gone
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
     """counts (key, n) of `total` rows -> (__key, __salts) of the keys that have more rows than an average shuffle partition, None if there are none.
 
-    There can't be more of them than shuffle partitions, so they may be broadcast.
+    There can't be more of them than shuffle partitions, so the driver may hold and broadcast them.
     """
-    most = max(LEAST_HOT, total // int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hot = cut(counts.where(F.col("n") > most).select(F.col(key).alias("__key"), F.ceil(F.col("n") / most).cast("int").alias("__salts")))
-    return None if hot.isEmpty() else hot
+    most = max(LEAST_HOT, total // int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1)
+    hot = counts.where(F.col("n") > most).select(F.col(key).alias("__key"), F.ceil(F.col("n") / most).cast("int").alias("__salts"))
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def join_dealt(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:

@@ -143,12 +143,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").where(near).select("u", "v")
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """members (key, node, root) -> the rows of keys with several roots, with the key's smallest node as pivot, that one's root as proot, and how many rows there are as n. Of keys that have the same nodes, one is left."""
+def _open_keys(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """members (key, node, root) -> (key, n, pivot, proot) of the keys with several roots: how many rows, the smallest node, its root; and their hot keys. Of keys that have the same nodes, one is left."""
     told = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.min_by("root", "node").alias("proot"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("nodes"))
     told = cut(told.where("lo < hi").groupBy("n", "pivot", "proot", "nodes").agg(F.min("key").alias("key")).select("key", "n", "pivot", "proot"))
-    total = told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return cut(join_dealt(members, told, "key", hot_keys(told, "key", total)))
+    return told, hot_keys(told, "key", told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
+def _open(members: DataFrame, *columns: str) -> DataFrame:
+    """The rows of open keys, with these columns of what is told of the keys."""
+    told, hot = _open_keys(members)
+    return cut(join_dealt(members, told.select("key", *columns), "key", hot))
+
+
+def _partners(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """nodes (node, root) -> (node): those that have a shingle of their prefix in common with a node of another root."""
+    members = cut(prefix_members(nodes, sets, percent))
+    told, hot = _open_keys(members)
+    return cut(join_dealt(members.select("key", "node"), told.select("key"), "key", hot, "left_semi").select("node").distinct())
 
 
 def prefix_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +222,8 @@ def _bucket_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = sized.groupBy("key", "root").agg(F.count("*").alias("m"))
     main = each.groupBy("key").agg(F.max(F.struct("m", "root")).alias("b")).select("key", F.col("b.root").alias("most"))
     tasks = F.ceil(F.col("n") / GROUP).cast("int")
-    placed = sized.join(main, "key").select("key", "node", "root", (F.col("root") == F.col("most")).alias("main"), tasks.alias("tasks"), F.pmod(F.xxhash64("node"), tasks).alias("own"))
+    hot = hot_keys(each.groupBy("key").agg(F.sum("m").alias("n")), "key", sized.count())
+    placed = join_dealt(sized, main, "key", hot).select("key", "node", "root", (F.col("root") == F.col("most")).alias("main"), tasks.alias("tasks"), F.pmod(F.xxhash64("node"), tasks).alias("own"))
     dealt = placed.withColumn("salt", F.explode(F.when(F.col("main"), F.array(F.col("own"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("tasks") - F.lit(1).cast("long")))))
     rows = dealt.withColumn("home", F.col("salt") == F.col("own")).join(sets, "node")
     return rows.select("key", "salt", "node", "root", "main", "home", "set").groupBy("key", "salt").applyInPandas(_linker(percent), "u long, v long").distinct()
@@ -222,6 +235,7 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
     Null, empty or blank texts have no shingles, a null node and root, and are linked with nothing. Rows with equal
     sets have one node, whatever their doc_id; repeated and null doc_ids are rows of their own.
     """
+    release(docs)  # what was before doesn't add to the driver's memory
     signed = told_apart(cut(sketches(docs, words, rows, bands)))
     own = signed.where("node is not null")
     shared = cut(own.select("node", F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most"))
@@ -233,11 +247,14 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
     release(sets)
     # each node and the smallest of all its buckets
     links = cut(_verified(members.groupBy(F.col("node").alias("u")).agg(F.min("least").alias("v")).where("u != v"), sets, percent))
-    roots = cut(components(links))
     left = members.select("key", "node")
+    del own, shared, hot, keys, members, wanted  # what they have on disk can go
+    release(links)
+    roots = cut(components(links))
     for turn in range(PIVOTS + 1):
         release(roots)
-        left = _open(left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        left = _open(left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), *(("pivot", "proot") if turn < PIVOTS else ("n",)))
+        release(left)
         if left.isEmpty():
             break
         if turn < PIVOTS:
@@ -246,12 +263,14 @@ def linked(docs: DataFrame, words: int = 2, percent: int = 80, rows: int = ROWS,
         else:
             small = F.col("n") <= SMALL
             found = _verified(_all_pairs(left.where(small).select("key", "node", "root")), sets, percent)
-            large = left.where(~small).select("key", "node", "root")
-            partners = _open(prefix_members(large.select("node", "root").distinct(), sets, percent)).select("node").distinct()
-            again = _open(large.join(partners, "node", "left_semi"))
-            found = found.union(_verified(_all_pairs(again.where(small).select("key", "node", "root")), sets, percent))
-            found = found.union(_bucket_links(again.where(~small).select("key", "node", "root", "n"), sets, percent))
+            left = left.where(~small).select("key", "node", "root")
+            left = _open(left.join(_partners(left.select("node", "root").distinct(), sets, percent), "node", "left_semi"), "n")
+            release(left)
+            found = found.union(_verified(_all_pairs(left.where(small).select("key", "node", "root")), sets, percent))
+            found = found.union(_bucket_links(left.where(~small).select("key", "node", "root", "n"), sets, percent))
         links = cut(links.union(found))
+        del found, roots
+        release(links)
         roots = cut(components(links))
     return signed.drop("bands", "check").join(roots, "node", "left").select("doc_id", "mark", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
 
