@@ -161,15 +161,24 @@ def feature(payload: bytes) -> str:
     return f"{x.mean() + 128:.4f},{np.sqrt((x * x).mean()):.4f},{np.count_nonzero(above[1:] != above[:-1]) / max(1, len(x) - 1):.6f}"
 
 
-def store(payloads: DataFrame) -> DataFrame:
-    """payloads (digest, text) -> (digest, n_bytes, media binary), a file for each row; a null text is empty. Lossless; equal texts give equal files."""
+def payloads(docs: DataFrame) -> DataFrame:
+    """docs (digest, text) -> (digest, packed), a row for each digest: the text deflated, as it moves once to meet its copies."""
 
     def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         whole = data.tobytes()
-        files = [to_wave(padded(whole[at[d] : at[d + 1]])) for d in range(len(at) - 1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(files, pa.binary())], names=["digest", "n_bytes", "media"])
+        return batch_of(batch, ["digest"], packed=pa.array([zlib.compress(whole[at[d] : at[d + 1]], 1) for d in range(len(at) - 1)], pa.binary()))
 
-    return map_slices(payloads.select("digest", "text"), kernel, "digest string, n_bytes long, media binary")
+    return map_slices(docs.select("digest", "text"), kernel, "digest string, packed binary").dropDuplicates(["digest"])
+
+
+def store(packed: DataFrame) -> DataFrame:
+    """packed (digest, packed) -> (digest, n_bytes, media binary), a file for each row. Lossless; equal texts give equal files."""
+
+    def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        texts = [zlib.decompress(data[at[d] : at[d + 1]]) for d in range(len(at) - 1)]
+        return batch_of(batch, ["digest"], n_bytes=pa.array([len(t) for t in texts], pa.int64()), media=pa.array([to_wave(padded(t)) for t in texts], pa.binary()))
+
+    return map_slices(packed, kernel, "digest string, n_bytes long, media binary", text="packed")
 
 
 _TOLD = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -207,20 +216,19 @@ def media_report(docs: DataFrame) -> DataFrame:
 
     Every text is parsed as HTML to a sequence of texts and references, to which the reference to its own payload is
     added; each different payload is stored and described once; the references meet the files by digest. n_items and
-    n_media tell of the parsed items; sequence_sha256 is the digest of their positions, kinds, texts, references,
-    captions. Null and empty texts have no items and one frame of zeros as payload. Rows that repeat a doc_id are
+    n_media tell of the parsed items; sequence_hash is a hash of their positions, kinds, texts, references, captions. Null and empty texts have no items and one frame of zeros as payload. Rows that repeat a doc_id are
     documents of their own. An empty table gives an empty one.
     """
     keyed = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
-    files = describe(store(keyed.select("digest", "text").dropDuplicates(["digest"])))
+    files = describe(store(payloads(keyed)))
     parsed = parse(keyed, html="text", key="doc_id", more="digest")
     # what is written and sent are outlines: texts of items stay behind their digests
     line = lambda i: F.concat_ws("\x1f", i["pos"].cast("string"), i["kind"], F.coalesce(i["text"], F.lit("")), F.coalesce(i["ref"], F.lit("")), F.coalesce(i["caption"], F.lit("")))
     told = parsed.select(
         "doc_id", "digest", F.transform("items", lambda i: i.withField("text", F.lit(None).cast("string"))).alias("items"),
         F.size("items").cast("long").alias("n_items"), F.size(F.filter("items", lambda i: i["ref"].isNotNull())).cast("long").alias("n_media"),
-        F.sha2(F.array_join(F.transform("items", line), "\x1e"), 256).alias("sequence_sha256"),
+        F.xxhash64(F.array_join(F.transform("items", line), "\x1e")).alias("sequence_hash"),
     )
-    met = resolve(with_payload(told, F.col("digest")), files, key="doc_id", kind="payload", more=("n_items", "n_media", "sequence_sha256"))
+    met = resolve(with_payload(told, F.col("digest")).drop("digest"), files, key="doc_id", kind="payload", more=("n_items", "n_media", "sequence_hash"))
     own = F.element_at("items", -1)["media"]
-    return met.select("doc_id", *[own[x.split()[0]].alias(x.split()[0]) for x in _TOLD.split(", ")], "n_items", "n_media", "sequence_sha256")
+    return met.select("doc_id", *[own[x.split()[0]].alias(x.split()[0]) for x in _TOLD.split(", ")], "n_items", "n_media", "sequence_hash")
