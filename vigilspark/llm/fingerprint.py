@@ -15,7 +15,7 @@ WORDS, SCALE = 5, 2
 #: Successors of ids are found in ranges of 2**STEP_BITS ids, then among the ranges, and so on.
 STEP_BITS = 16
 #: Neighbouring documents meet in ranges of 2**RANGE_BITS ids.
-RANGE_BITS = 9
+RANGE_BITS = 7
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -71,53 +71,57 @@ def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
 
 
 def successors(ids: DataFrame, bits: int = 64) -> DataFrame:
-    """ids (id), distinct longs -> (id, next): the next larger one, null for the largest. No task sees more than 2**STEP_BITS ids of a range."""
+    """ids (id), distinct longs -> (id, next): the next larger one, after the largest the smallest. No task sees more than 2**STEP_BITS ids of a range."""
     if bits <= STEP_BITS:
-        return ids.select("id", F.lead("id").over(Window.orderBy("id")).alias("next"))
+        return ids.select("id", F.coalesce(F.lead("id").over(Window.orderBy("id")), F.min("id").over(Window.partitionBy())).alias("next"))
     ranged = ids.withColumn("range", F.shiftright("id", STEP_BITS))
     within = ranged.withColumn("next", F.lead("id").over(Window.partitionBy("range").orderBy("id")))
     heads = ranged.groupBy("range").agg(F.min("id").alias("head"))
     later = successors(heads.select(F.col("range").alias("id")), bits - STEP_BITS).select(F.col("id").alias("range"), F.col("next").alias("following"))
-    follow = later.join(heads.select(F.col("range").alias("following"), "head"), "following", "left").select("range", "head")
-    return within.join(follow, "range", "left").select("id", F.coalesce("next", "head").alias("next"))
+    follow = later.join(heads.select(F.col("range").alias("following"), "head"), "following").select("range", "head")
+    return within.join(follow, "range").select("id", F.coalesce("next", "head").alias("next"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text), neither null -> with `next`, the text of the next larger doc_id, after the largest that of the smallest.
+def with_next(docs: DataFrame, added: dict[str, Column] | None = None) -> DataFrame:
+    """docs (doc_id, text), neither null -> with `next`, a struct of the text of the next larger doc_id (after the largest: the smallest) and of what is added.
 
-    Texts move once, to ranges of 2**RANGE_BITS ids; the first document of the range that follows comes along as a ghost.
-    Of rows that repeat a doc_id, the smallest text is the next one.
+    added: columns made of a row's text once it is where its neighbours are; the rows have them too. Texts move once, to
+    ranges of 2**RANGE_BITS ids; the first document of the range that follows comes along as a ghost. Of rows that repeat
+    a doc_id, the smallest text is the next one.
     """
     ranged = docs.withColumn("range", F.shiftright("doc_id", RANGE_BITS))
-    least = docs.agg(F.min("doc_id")).first()[0]
-    first = F.lit(0 if least is None else least >> RANGE_BITS).cast("long")
     heads = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("h"))
-    order = successors(ranged.select(F.col("range").alias("id")).distinct()).select(F.col("id").alias("of"), F.coalesce("next", first).alias("range"))
+    order = successors(ranged.select(F.col("range").alias("id")).distinct()).select(F.col("id").alias("of"), F.col("next").alias("range"))
     ghosts = heads.join(order, "range").select("h.doc_id", "h.text", F.col("of").alias("range"), F.lit(True).alias("ghost"))
-    every = ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("range")
-    ahead = F.lead(F.struct("doc_id", "ghost", "text")).over(Window.partitionBy("range").orderBy("ghost", "doc_id", "text"))
+    every = ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("range").withColumns(added or {})
+    own = ["text", *(added or {})]
+    ahead = F.lead(F.struct("doc_id", "ghost", F.struct(*own).alias("own"))).over(Window.partitionBy("range").orderBy("ghost", "doc_id", "text"))
     every = every.withColumn("ahead", ahead)
     # the last of the rows with one doc_id has the next doc_id ahead
-    other = F.when((F.col("ahead.doc_id") != F.col("doc_id")) | F.col("ahead.ghost"), F.col("ahead.text"))
+    other = F.when((F.col("ahead.doc_id") != F.col("doc_id")) | F.col("ahead.ghost"), F.col("ahead.own"))
     every = every.withColumn("next", F.max(other).over(Window.partitionBy("range", "ghost", "doc_id")))
-    return every.where("not ghost").select("doc_id", "text", "next")
+    return every.where("not ghost").select("doc_id", *own, "next")
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    """docs (doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, kept_in_edited).
 
     A null text is empty. The next document is that of the next larger doc_id, after the largest that of the smallest;
-    of rows that repeat its doc_id, the smallest text. Rows with a null doc_id come next to nothing: nothing replaces the
-    end of their text, and near_next compares with an empty text. An empty table gives an empty one.
+    of rows that repeat its doc_id, the smallest text. kept_in_edited is the containment of a text's sketch in the edited
+    text's. Rows with a null doc_id come next to nothing: nothing replaces the end of their text, and near_next compares
+    with an empty text. An empty table gives an empty one.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    met = with_next(base.where("doc_id is not null")).unionByName(base.where("doc_id is null").withColumn("next", F.lit("")))
+    own = {"print": sketch(F.col("text"), words, scale)}
+    none = F.struct(F.lit("").alias("text"), F.array().cast("array<long>").alias("print"))
+    met = with_next(base.where("doc_id is not null"), own).unionByName(base.where("doc_id is null").withColumns(own).withColumn("next", none))
     size = F.length("text")
     part = F.floor(size / 4).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), size - part), F.col("next").substr(F.lit(1), part))
-    met = met.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), *[sketch(F.col(c), words, scale).alias(f"{c}_print") for c in ("text", "next")])
+    edited = F.concat(F.col("text").substr(F.lit(1), size - part), F.col("next.text").substr(F.lit(1), part))
+    met = met.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "print", F.col("next.print").alias("next_print"))
     met = met.withColumn("edited_print", sketch(F.col("edited"), words, scale))
     return met.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("text_print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("text_print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("text_print"), F.col("next_print")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        containment(F.col("print"), F.col("edited_print")).alias("kept_in_edited"),
     )
