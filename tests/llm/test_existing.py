@@ -7,7 +7,9 @@ import zlib
 import plain
 import pytest
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from vigilspark.llm import fingerprint, mixing, near_dup, packing, repeats, secret_scan
 
@@ -213,3 +215,81 @@ def test_words_have_the_ids_of_the_tokenizer(spark):
     t.encode_special_tokens = True
     for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
         assert words.encode(text) == b"".join(i.to_bytes(4, "little") for i in e.ids)
+
+
+def plain_sketch(text, words=5, scale=2):
+    """The fingerprint by a hash library, step by step."""
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in plain.words(text)]
+
+    def chain(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    if len(h) < words:
+        return None
+    every = {chain(h[i : i + words]) for i in range(len(h) - words + 1)}
+    top = (1 << 63) // scale
+    low = sorted(x for x in every if -top <= x < top)
+    return low or [min(every)]
+
+
+def test_fingerprints_and_likeness_by_hand(spark):
+    """Fingerprints, likeness and containment against sets of hashes made step by step, for texts of five words or more."""
+    texts = [t for t in plain.sample(11, 60, 200) if len(plain.words(t)) >= 9]
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        follow = texts[(k + 1) % len(texts)]
+        part = len(t) // 4
+        edited = t[: len(t) - part] + follow[:part]
+        a, b, c = (plain_sketch(x) for x in (t, follow, edited))
+        text = lambda s: ",".join(f"{x & (2**64 - 1):x}" for x in s)
+        assert rows[k].fingerprint == text(a) and (c is None or rows[k].edited_fingerprint == text(c))
+        share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+        assert abs(rows[k].near_next - share(a, b)) < 1e-12
+        if c is not None:
+            assert abs(rows[k].near_edited - share(a, c)) < 1e-12 and abs(rows[k].kept_in_edited - len(set(a) & set(c)) / len(a)) < 1e-12
+
+
+def test_redaction_of_columns_that_cannot_be_null(spark):
+    kind = T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
+    docs = spark.createDataFrame([(k, "token=" + "a" * 20 if k == 3 else "x" * 900_000, 1) for k in range(8)], kind).coalesce(1)
+    rows = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
+    assert rows[3].text == "<assign>" and rows[3].n_chars == 8 and rows[0].n_chars == 1 and len(rows) == 8
+
+
+def test_mix_shares_words_among_equal_rows(spark):
+    docs = spark.createDataFrame([(7, "a b c", "s", 5)] * 3 + [(8, "d e", "s", 3), (9, "f", "t", 1)], "doc_id long, text string, source string, n_chars long")
+    taken = {}
+    for r in mixing.mix(docs, share=1.2, epochs=1.5).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    back = {}
+    for r in mixing.repeat_by_mix(docs, share=1.2, epochs=1.5).collect():
+        back[r.doc_id] = back.get(r.doc_id, 0) + len(r.text.split())
+    assert back == {d: n for d, n in taken.items() if n}
+
+
+def test_periodic_blocks_are_runs():
+    """Blocks that repeat within a text leave it as runs; all windows are still covered once or more."""
+    import numpy as np
+
+    text = ("z" * 3000 + "".join(random.Random(2).choices("abcdef ", k=2000))).encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    (d, s0, s1, anchor, n), content = repeats.block_rows(data, at)
+    assert len(d) == len(content) < 60 and (n == 0).sum() >= 1 and n.sum() > 2000
+    covered = np.zeros(len(text) - 399, bool)
+    for a, b in zip(s0, s1):
+        covered[a : b + 1] = True
+    assert covered.all()
+
+
+def test_prefixes_keep_partners_and_drop_others(spark):
+    """Texts of one template meet by their common words alone, and are dropped; near copies among them stay."""
+    rng = random.Random(6)
+    base = set(range(100))
+    sets = [(k, sorted(base | {1000 * k + j for j in range(60)})) for k in range(1, 40)]
+    sets.append((40, sorted(set(sets[4][1]) - set(rng.sample(sorted(base), 3)))))
+    rows = spark.createDataFrame(sets, "node long, set array<long>")
+    nodes = rows.selectExpr("node", "node AS root")
+    assert {r.node for r in near_dup._partners(nodes, rows, 80).collect()} == {5, 40}
