@@ -165,3 +165,27 @@ def test_as_in_sql(spark, sf_dir, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert sorted(map(str, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(str, want.select(*columns).fetchall()))
+
+
+def test_package_calls(spark, tmp_path):
+    import vigilspark
+
+    secret = "AKIA" + "ABCD" * 4
+    (tmp_path / "a.py").write_text(f"id {secret}\n")
+    assert vigilspark.findings_of(vigilspark.scan_file(spark, str(tmp_path / "none.py"))) == {}
+    one = vigilspark.findings_of(vigilspark.scan_file(spark, str(tmp_path / "a.py")))
+    assert [secret] in one.values()
+    every = vigilspark.scan_directory(spark, str(tmp_path), "all")
+    told = vigilspark.get_scan_stats(every)
+    assert told["total_files"] == 1 and told["total_matches"] >= 1
+    assert vigilspark.to_json(every, str(tmp_path / "r.json")).endswith("r.json") and secret in (tmp_path / "r.json").read_text()
+    assert secret in vigilspark.generate_report(every, "md")
+
+
+def test_every_infrastructure_rule_is_planted(spark):
+    from vigilspark import rules
+    from vigilspark.operators import scan
+    from vigilspark.plans.corpus import files
+
+    found = {r.rule for r in scan.scan_devsecops(files(spark, "/root/testdata/sf0.01")).select("rule").distinct().collect()}
+    assert found == {r.name for r in rules.DEVSECOPS_RULES}

@@ -33,7 +33,9 @@ _PLANTED = (
     "automountServiceAccountToken: true\nstringData:", 'access_key = "AKIA' + "WXYZ" * 4 + '"', 'secret_key = "' + _A[:40] + '"', 'acl = "public-read"\npublicly_accessible = true', 'cidr_blocks = ["0.0.0.0/0"]', 'db_password = "hunter2"; password = "$var"',
     "echo ${{ secrets.X }}", "on: pull_request_target", "uses: a/b@main and uses: a/b@v1 and uses: c/d@vx", "- DB_SECRET=abc", "cert = '" + _MIXED + "'", "seed: \"" + _MIXED[:24] + "example\"", "key='" + _MIXED + "' auth=\"" + _MIXED[::-1] + "\"", "plain words only", "you_are no key = short", "example.com password=test1234",
 )
-SEEDS = tuple(_PLANTED)
+_INFRA = _PLANTED[next(k for k, x in enumerate(_PLANTED) if x.startswith("\nFROM")) : _PLANTED.index("- DB_SECRET=abc") + 1]
+#: The infrastructure lines all together, often enough to meet every kind of file name.
+SEEDS = _PLANTED + ("\n".join(_INFRA),) * 24
 _NOTEBOOK = ('{"cells": [{"source": ["', '", "\\nprint(api_key)"]}, {"source": "eval(completion)"}]}')
 
 
