@@ -1,4 +1,7 @@
-"""A corpus from raw documents to packed sequences: good text, once, without secrets, in the wanted mix."""
+"""A corpus from raw documents to packed sequences: good text, once, without secrets, in the wanted mix.
+
+All stages take nulls in any column, repeated rows and other columns of any name, and give an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +18,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from those that are labelled good."""
+    """Documents that the quality classifier rejects go, null, empty and blank texts with them; it learns from those that are labelled good. Repeated rows stay or go together."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five words a shingle, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: five words a shingle, a similarity of 0.8 or more. Texts without words stay; of equal ids in a group the least text hash."""
     return near_dup.keep_one(docs, words=5, percent=80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by their kinds; all documents stay."""
+    """Secrets in the texts are replaced by their kinds; all documents stay, null texts as they are."""
     return secret_scan.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, cut or left out so that their sources come near their targets."""
+    """Documents repeated, cut or left out so that their sources come near their targets; texts without words go, a null source is a source."""
     return mixing.repeat_by_mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 1024: a row for each piece of a document."""
+    """Token sequences of at most 1024: a row for each piece of a document; null and empty texts are one token."""
     return packing.pack(docs)
 
 
