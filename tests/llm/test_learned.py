@@ -209,3 +209,24 @@ def test_pipeline(spark, sf_dir):
 
 def test_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    """Nulls in any column, blank and repeated rows, clashing names, an empty table: all columns and types stay."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, root string, n long, key string, mark string, bits string, __row long"
+    good = "the cat sat on the mat and looked at the hat with great care"
+    rows = [(i, t, None, None, None, "a", 1, "b", None, "c", i) for i, t in enumerate(plain.ODD)] + [(None, good, None, "s", 3, None, None, None, None, None, None), (50, good, "en", "s", 3, "x", 2, "k", "m", "b", 7), (50, good, "en", "s", 3, "x", 2, "k", "m", "b", 7)]
+    docs = spark.createDataFrame(rows, kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            after = stage(spark, table, sf_dir)
+            assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes), name
+            texts = [r.text for r in after.collect()]
+            assert table is docs or not texts, name
+            if table is docs and name == "once":
+                assert texts.count(good) == 1 and texts.count(None) == 1
+            if table is docs and name == "clean":
+                assert len(texts) == len(rows)
+            if table is docs and name == "mixed":
+                assert None not in texts and good in texts
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == len(plain.ODD) + 2
