@@ -1,6 +1,7 @@
 """Plain Python versions of what the operators compute, for comparison; quadratic where that is simplest."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -25,6 +26,47 @@ def secrets(text):
     return [sum(x.startswith(k) for x in found) for k in BASE], hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
+def all_spans(text, more):
+    """All spans, of the base and of further rules, joined; Python's own expressions over bytes, places in code points."""
+    raw = (text or "").encode()
+    found = [(m.start(), k, m.end(), kind) for k, (kind, (rx, group, least)) in enumerate(BASE.items()) for m in rx.finditer(text or "") if len(m[group]) >= least]
+    for k, rule in enumerate(more, len(BASE)):
+        for m in re.finditer(f"(?:{rule.head})(?P<body>{rule.body})".encode(), raw):
+            if len(m["body"]) >= rule.least:
+                found.append((len(raw[: m.start()].decode("utf-8", "replace")), k, len(raw[: m.end()].decode("utf-8", "replace")), rule.kind))
+    return ",".join(f"{kind}:{start}:{end}" for start, k, end, kind in sorted(found))
+
+
+def licence_labels(docs, templates, base, rare=8, slack=4, share=0.6, floor=3.0, least=2, order=None):
+    """[(labels, score)] of docs (lists of words): every beginning of every template is tried. order: of equally rare words."""
+    known = {w for t in templates for w in t.text.split()}
+    seen = {w: sum(w in d for d in map(set, docs)) for w in known}
+    idf = {w: math.log((len(docs) + 1) / n) if n else math.inf for w, n in seen.items()}
+
+    def stands(phrase, words):
+        p = phrase.split()
+        return any(words[i : i + len(p)] == p for i in range(len(words) - len(p) + 1))
+
+    out = []
+    for words in docs:
+        labels = {label for phrase, label in base if stands(phrase, words)}
+        score = 1.0 if labels else 0.0
+        for t in templates:
+            own = t.text.split()
+            ranked = sorted(set(own), key=lambda w: (-idf[w], order(w)))[:rare]
+            ranked = [w for k, w in enumerate(ranked) if k < least or idf[w] >= floor]
+            votes = [(i - p, w) for i, w in enumerate(words) for p, o in enumerate(own) if w == o and w in ranked]
+            for last in {b for b, _ in votes}:
+                near = [(b, w) for b, w in votes if last - slack <= b <= last]
+                part, begin = len({w for _, w in near}) / len(ranked), min(near)[0]
+                stretch = words[max(0, begin - slack) : begin + len(own) + 2 * slack]
+                if part >= share and len({w for _, w in near}) > 1 and all(stands(k, stretch) for k in t.keys):
+                    labels.add(t.label)
+                    score = max(score, part)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
 def words(text):
     return SPACED.findall((text or "").translate(LOWER))
 

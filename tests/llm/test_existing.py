@@ -46,6 +46,16 @@ def test_secret_rules_and_redaction(spark):
     assert secret_scan.secret_report(frame(spark, [])).count() == 0
 
 
+def test_all_spans_by_pythons_expressions(spark, sf_dir):
+    rng = random.Random(11)
+    parts = ["gh" + "p_", "g" * 36, "gl" + "pat-", "A-" * 10, "xo" + "xb-", "1-2-3-4-5-6", "AI" + "za", "Z_" * 18, "sk_" + "live_", "r" * 24, "ey" + "J", "aGk", ".", "ey" + "JhbGci.eyJzdWI.",  "c2lnbmF0", "-----BEGIN ", "RSA ", "PRIVATE KEY", " BLOCK", "-----", "https://", "mysql://", "u:pw", "@", "host", ":", "/", "é", "漢", " ", "token=", "abcdef0123456789", "\n"]
+    texts = plain.ODD + ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(1500)]
+    docs = frame(spark, texts).select("doc_id", "text").unionByName(whole(spark, sf_dir).selectExpr("doc_id + 100000 as doc_id", "text"))
+    want = {r.doc_id: plain.all_spans(r.text, secret_scan.MORE) for r in docs.collect()}
+    assert {kind.split(":")[0] for x in want.values() for kind in x.split(",")} >= {r.kind for r in secret_scan.MORE}
+    assert {r.doc_id: r.spans for r in secret_scan.secret_report(docs).collect()} == want
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(spark, words):
     texts = plain.ODD + plain.sample(words, 90) + ["b a", "A  B\n", "x " * 700, "x " * 900]

@@ -1,6 +1,7 @@
 """Licence scan, language, quality, media and the pipeline against plain versions, held-out accuracy and round trips."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -42,6 +43,22 @@ def test_licences(spark, sf_dir):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_licence_labels_by_trying_all_places(spark, sf_dir):
+    rng, notes = random.Random(5), [t.text.split() for t in license_scan.TEMPLATES]
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + plain.ODD
+    for note in notes * 6:
+        words = [w for w in note if rng.random() > 0.08]
+        for _ in range(rng.choice((0, 0, 1, 3, 6))):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(("other", "license", "the", "public", "v")))
+        texts.append(" ".join([*rng.choices(("a", "word", "license", "Free"), k=rng.randrange(9)), *words, *rng.choice(notes)[: rng.randrange(12)]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan(docs).collect()}
+    words = [WORD.findall((t or "").translate(plain.LOWER)) for t in texts]
+    want = plain.licence_labels(words, license_scan.TEMPLATES, license_scan.BASE, order=lambda w: int(license_scan._hashes(w)[0]))
+    assert got == {d: (labels, round(score, 9)) for d, (labels, score) in enumerate(want)}
+    assert len({labels for labels, _ in want}) > 20
+
+
 def greedy(text, of):
     """Phrases of the greedy parse of `of` by substrings of text, in blocks."""
     count = 0
@@ -176,6 +193,9 @@ def test_media_round_trip(spark, sf_dir):
         raw, o = (r.text or "").encode(), out[r.doc_id]
         want = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         assert (o.n_bytes, o.payload_bytes, o.payload_sha256, o.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        mean, square = sum(want) / len(want), sum((x - 128) ** 2 for x in want) / len(want)
+        crossed = sum((a < 128) != (b < 128) for a, b in zip(want, want[1:])) / (len(want) - 1)
+        assert np.allclose([float(x) for x in o.feature.split(",")], [mean, square**0.5, crossed], rtol=0, atol=1e-4)
         assert media.samples_of(media.to_wave(want)) == want and o.media_bytes == len(want) + 44
     assert tuple(out[11][2:]) == tuple(out[12][2:])
     assert media.media_report(docs.limit(0)).count() == 0
