@@ -16,6 +16,7 @@ from vigilspark.operators import scan, stats
 from vigilspark.plans import report
 from vigilspark.plans.corpus import SEEDS
 from vigilspark.sources import files as S
+from vigilspark.streaming import stream_scan
 from pyspark.sql import functions as F
 
 EVERY = [r for rules in R.RULES.values() for r in rules]
@@ -155,7 +156,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "sub" / "a.py"), "--format", "md", "-o", str(out)], spark) == 1
 
 
-@pytest.mark.parametrize("name", ["secrets_findings", "llm_findings", "devsecops_findings", "entropy_values", "severity_counts_pairs", "custom_rules"])
+@pytest.mark.parametrize("name", ["secrets_findings", "llm_findings", "devsecops_findings", "entropy_values", "severity_counts_pairs", "custom_rules", "stream_findings"])
 def test_as_in_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
@@ -189,3 +190,15 @@ def test_every_infrastructure_rule_is_planted(spark):
 
     found = {r.rule for r in scan.scan_devsecops(files(spark, "/root/testdata/sf0.01")).select("rule").distinct().collect()}
     assert found == {r.name for r in rules.DEVSECOPS_RULES}
+
+
+def test_stream_counts_by_window(spark, tmp_path):
+    at = [datetime.datetime(2024, 1, 1, h, 30) for h in (0, 0, 1)]
+    rows = [("a.py", 0, "AKIA" + "A" * 16, at[0]), ("b.py", 0, "AKIA" + "B" * 16 + " AKIA" + "C" * 16, at[1]), ("c.py", 0, "AKIA" + "D" * 16, at[2]), ("d.py", 0, None, at[2])]
+    spark.createDataFrame([(p, p, ".py", *r) for p, *r in rows], "path string, name string, suffix string, size long, content string, arrived timestamp").write.parquet(str(tmp_path / "in"))
+    arrived = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    rules = tuple(r for r in R.SECRET_RULES if r.name == "AWS Access Key")
+    query = stream_scan.counts(arrived, rules).writeStream.format("memory").queryName("by_window").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.window.start, r.rule): r.matches for r in spark.table("by_window").collect()}
+    assert got == {(datetime.datetime(2024, 1, 1, h), "AWS Access Key"): n for h, n in ((0, 3), (1, 1))}

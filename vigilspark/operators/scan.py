@@ -49,12 +49,12 @@ def _matches(rule: R.Rule, flat: bool) -> tuple[Column, Column]:
     return shown, tuples
 
 
-def find(files: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
-    """files (path, name, content) -> findings of the rules; null contents have none. Rules of several groups join them by a space, but those of the secrets scanner keep them apart."""
+def find(files: DataFrame, rules: tuple[R.Rule, ...], along: tuple[str, ...] = ()) -> DataFrame:
+    """files (path, name, content) -> findings of the rules; null contents have none. Rules of several groups join them by a space, but those of the secrets scanner keep them apart. along: columns of files that come along."""
     if not rules:
         return files.sparkSession.createDataFrame([], FINDING)
     used = {g for r in rules for g in r.gate if g in R.RUNS}
-    low = files.select("path", "name", "content", F.lower("content").alias("low"), *[F.col("content").rlike(R.RUNS[g]).alias(g) for g in sorted(used)]).where("content is not null")
+    low = files.select("path", *along, "name", "content", F.lower("content").alias("low"), *[F.col("content").rlike(R.RUNS[g]).alias(g) for g in sorted(used)]).where("content is not null")
     hits = []
     for rule in rules:
         shown, parts = _matches(rule, rule.scanner not in (R.SECRETS, R.CUSTOM))
@@ -63,9 +63,9 @@ def find(files: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
         gate = tests[0] & tests[1] if len(tests) > 1 else tests[0] if tests else None
         kept = (lambda c: c if gate is None else F.when(gate, c))  # noqa: B023
         hits.append(F.struct(F.lit(rule.scanner).alias("scanner"), F.lit(rule.name).alias("rule"), F.lit(rule.ord).alias("rule_ord"), kept(shown).alias("found"), kept(parts).alias("tuples")))
-    rows = low.select("path", F.explode(F.filter(F.array(*hits), lambda h: F.size(h["found"]) > 0)).alias("h"))
-    each = rows.select("path", "h.scanner", "h.rule", "h.rule_ord", "h.tuples", F.posexplode("h.found").alias("match_ord", "match"))
-    return each.select("path", "scanner", "rule", "rule_ord", "match_ord", "match", F.get("tuples", F.col("match_ord")).alias("parts"))
+    rows = low.select("path", *along, F.explode(F.filter(F.array(*hits), lambda h: F.size(h["found"]) > 0)).alias("h"))
+    each = rows.select("path", *along, "h.scanner", "h.rule", "h.rule_ord", "h.tuples", F.posexplode("h.found").alias("match_ord", "match"))
+    return each.select("path", "scanner", "rule", "rule_ord", "match_ord", "match", F.get("tuples", F.col("match_ord")).alias("parts"), *along)
 
 
 def _at_least(rules: tuple[R.Rule, ...], threshold: str | None, mode: str) -> tuple[R.Rule, ...]:

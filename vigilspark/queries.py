@@ -243,6 +243,7 @@ t AS (SELECT *, sum(k) FILTER (b64) OVER (PARTITION BY path, value) AS nb, sum(k
 e AS (SELECT path, value, no, coalesce(sum(CASE WHEN b64 AND nb >= 8 THEN -k / nb * log2(k / nb) END), 0) AS b, coalesce(sum(CASE WHEN hx AND nh >= 8 THEN -k / nh * log2(k / nh) END), 0) AS h FROM t GROUP BY path, value, no),
 best AS (SELECT path, CASE WHEN len(value) > 50 THEN substr(value, 1, 50) || '...' ELSE value END AS value, greatest(b, h) AS entropy, CASE WHEN b >= h THEN 'base64' ELSE 'hex' END AS charset, CAST(no AS INTEGER) AS line_number FROM e)
 """
+_STREAMED = "files AS (SELECT 'd' || doc_id || '.txt' AS path, 'd' || doc_id || '.txt' AS name, '.txt' AS suffix, strlen(text) AS size, text AS content FROM documents)"
 _FALSE = " OR ".join(f"contains(lower(match), {_q(w)})" for w in R.FALSE_POSITIVES)
 ORACLE_SQL = {
     "secrets_findings": _sql(R.SECRET_RULES, _FLAT),
@@ -270,5 +271,6 @@ ORACLE_SQL = {
     "md_numbered": _sql(R.SECRET_RULES, "SELECT path, rule, CAST(count(*) AS INTEGER) AS last_no, max(CASE WHEN len(match) > 100 THEN 103 ELSE len(match) END) AS widest FROM found GROUP BY path, rule"),
     "html_top10": _with_pairs("SELECT path, rule, least(match_count, 10) AS shown, greatest(match_count - 10, 0) AS more FROM pairs"),
     "custom_rules": _sql(R.custom_rules(CUSTOM), _FLAT),
+    "stream_findings": _sql(_EVERY, _FLAT, _STREAMED),
     "baseline_diff": _sql([r for r in _EVERY if r.severity == "LOW"], _FLAT),
 } | {f"severity_filter_{s.lower()}": _sql(_at(s), _FLAT) for s in R.LEVELS[1:]}

@@ -8,11 +8,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules as R
 from ..operators import scan
-from ..sources.files import with_names
+from ..sources.files import takes_secrets, with_names
 
 
-def findings(stream: DataFrame, kind: str = "secrets") -> DataFrame:
+def findings(stream: DataFrame, kind: str = "all") -> DataFrame:
     """A stream of files (path, name, suffix, size, content) -> a stream of findings; no state."""
     return scan.run_scan(stream, kind)
 
@@ -25,9 +26,10 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_names(rows)
 
 
-def counts(stream: DataFrame, time: str = "arrived", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Findings by rule and window of event time."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window), "rule").agg(F.count("*").alias("matches"))
+def counts(stream: DataFrame, rules: tuple[R.Rule, ...] = R.SECRET_RULES, time: str = "arrived", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """A stream of files with an event time -> matches by rule and window of it; the watermark bounds what is held."""
+    found = scan.find(stream.where(takes_secrets()).withWatermark(time, late), rules, along=(time,))
+    return found.groupBy(F.window(time, window), "rule").agg(F.count("*").alias("matches"))
 
 
 def once_over(spark: SparkSession, sf_dir: str) -> DataFrame:
