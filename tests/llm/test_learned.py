@@ -175,6 +175,37 @@ def test_quality(spark):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def test_quality_symbols_keep_all_bytes():
+    """No two characters are one symbol: digits, letters of other scripts and punctuation have n-grams of their own."""
+    seen = {}
+    for c in [*range(0xD800), *range(0xE000, 0x11000, 7), *range(0x1F000, 0x1F700)]:
+        raw = np.frombuffer(chr(c).encode(), np.uint8)
+        seen.setdefault(tuple(quality.gram_codes(raw, np.array([0, len(raw)]))[0].tolist()), []).append(c)
+    assert not [c for c in seen.values() if len(c) > 1]
+
+
+def test_quality_scores_by_join(spark, monkeypatch):
+    """Each document's bits are the plain model's, over many shards, for n-grams seen and unseen; copies and null ids too."""
+    monkeypatch.setattr(quality, "SHARD_BYTES", 60)
+    learned = ["the cat sat on the mat, the the cat", "Да нет, наверное. 1987", "mat mat mat"] * 2 + ["dog and cat at the hat 42"]
+    asked = [*learned, "нет Да 1978 {}", "the Cat\tsat\n\nqqq", "xyzzy 世界 é", "a a", "", " ", None, "the cat sat on the mat " * 40, "x" * 300]
+    docs = spark.createDataFrame([(i if i % 4 else None, "en", t) for i, t in enumerate(asked + asked[:3])], "doc_id long, lang string, text string")
+    known = quality.model(spark.createDataFrame([(t,) for t in learned], "text string"))
+    p, want = plain_model(learned), {}
+    for t in asked:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        codes = quality.gram_codes(raw, np.array([0, len(raw)]))[0].tolist()
+        bits = {g: -np.log2(p(g, quality.ORDER)) for g in set(codes)}
+        want[t] = sum(bits[g] for g in codes) / len(raw) if (t or "").split() else None
+    hashes = {r.mark: r.text for r in docs.selectExpr("xxhash64(text) AS mark", "text").collect()}
+    rows = quality.score(docs, known).collect()
+    assert len(rows) == len(asked) + 3
+    for r in rows:
+        t = hashes[r.mark]
+        assert r.n_bytes == len((t or "").encode()) and (r.bits is None) == (want[t] is None)
+        assert r.bits is None or abs(r.bits - want[t]) < 0.03
+
+
 def test_quality_learns_from_all(spark, monkeypatch):
     """Counts cover every trusted document that isn't toxic, also the few of a rare language among very many others."""
     docs = spark.range(25_000).selectExpr("id AS doc_id", "IF(id % 5000 = 7, 'ru', 'en') AS lang", "IF(id % 5000 = 7, 'да нет', concat('word ', id)) AS text")

@@ -1,136 +1,252 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded by language.
 
-The model is of order 4 over 64 byte classes: letters, digits, kinds of white space and punctuation, the parts of UTF-8
-sequences, and a class for the white space before a word that repeats the one before it, so that text which stutters is
-as surprising as text in odd symbols. Counts are summed by n-gram over the shards of all trusted documents;
-continuation counts, context totals and lower orders are joined to them by n-gram. 64**4 bounds the model, so its tables
-go to every task that scores; texts move only to meet the labels, before they are counted. A document's bits per byte are drawn towards
-the median of its language by PRIOR bytes, as a few bytes tell little; it is rejected if they exceed the QUANTILE of its
-language's trusted documents.
+The model is of order 5 over 64 symbols that spell a text's bytes without loss: small letters, the usual white space, the
+full stop and the parts of two-byte letters are one symbol, all else two; an own symbol marks a word that repeats the one
+before it, so that text which stutters is as surprising as odd symbols. N-grams are counted over all trusted documents
+and summed by shards of the model, which hold all n-grams whose contexts end in the same DENSE symbols; so orders above
+DENSE are put together within a shard, and only the orders up to DENSE, CLASSES ** DENSE probabilities, are a table that
+goes to tasks. Scoring joins as well: documents are dealt into shards of their own, whose distinct n-grams meet the
+model's shards and come back as bits. A document's bits per byte are drawn towards the median of its language by PRIOR
+bytes, as a few bytes tell little; it is rejected if they exceed the QUANTILE of its language's trusted documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, map_slices, release, slices
+from .common import bound_batches, cut, release, slices
 from .shingles import word_hashes
 
-BITS, ORDER = 6, 4
+BITS, ORDER, DENSE = 6, 5, 3
 CLASSES = 1 << BITS
 PRIOR, QUANTILE, ACCURACY = 64, 0.995, 10_000
 #: Thresholds of so many languages are broadcast; those of more are joined by a shuffle.
 LANGUAGES = 10_000
-SPACE, BREAK, LEAD, REPEATED = 53, 54, 58, 63
+#: Shards of the model, and bytes of text in a shard of documents.
+BUCKETS, SHARD_BYTES = 512, 8 << 20
+#: A task that counts gives away its sums once it has so many n-grams.
+HELD = 4 << 20
+#: N-grams are sorted with their places in so many bits.
+PLACES = 21
+#: Symbols from SHIFT on; two-byte leads lie between SHIFT and SPACE, the second of an escaped byte is its low bits.
+SHIFT, LEAD2, SPACE, BREAK, STOP, LOW, HIGH, LEAD, REPEATED = 26, 27, 57, 58, 59, 60, 61, 62, 63
 
 
-def _classes() -> np.ndarray:
-    out = np.full(256, 57, np.uint8)  # other ASCII
-    out[97:123], out[65:91] = np.arange(26), np.arange(26, 52)
-    out[48:58], out[32], out[9:14], out[46], out[44] = 52, SPACE, BREAK, 55, 56
-    out[0xC0:] = LEAD
-    out[0x80:0xC0] = 59 + np.arange(64) % 4
-    return out
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """The first symbol of each byte, and its second (REPEATED: none)."""
+    byte = np.arange(256)
+    first = np.select([byte < 64, byte < 128, byte < 192], [LOW, HIGH, byte & 63], LEAD).astype(np.uint8)
+    second = np.where((byte >= 128) & (byte < 192), REPEATED + 1, byte & 63).astype(np.uint8)
+    first[65:91], second[65:91] = SHIFT, np.arange(26)
+    for own, symbols in ((slice(97, 123), np.arange(26)), (slice(0xC2, 0xE0), LEAD2 + np.arange(30)), (32, SPACE), (10, BREAK), (46, STOP)):
+        first[own], second[own] = symbols, REPEATED + 1
+    return first, second
 
 
-_CLASS = _classes()
+_FIRST, _SECOND = _symbols()
 
 
-def gram_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the n-gram that ends in each byte, ORDER classes of BITS bits, filled with breaks before the text; which texts have words."""
-    own = _CLASS[data]
+def gram_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code of the n-gram that ends in each symbol, ORDER symbols of BITS bits, filled with breaks before the text; where each text's codes begin; which texts have words."""
     words, of, first = word_hashes(data, at)
     same = np.zeros(len(words), bool)
     same[1:] = words[1:] == words[:-1]
     same[of[:-1][of[:-1] < len(words)]] = False
-    before = first[same] - 1  # the byte of white space before a repeated word
-    own[before] = REPEATED
-    own = own.astype(np.uint32)
+    again = np.zeros(len(data), bool)
+    again[first[same] - 1] = True  # the byte of white space before a repeated word
+    second = _SECOND[data]
+    two = second < CLASSES
+    end = np.cumsum(1 + two + again, dtype=np.int64)
+    begin = np.concatenate([[0], end])[at]
+    own = np.empty(begin[-1], np.uint32)
+    own[end - 1] = second  # of bytes that have none, overwritten below
+    own[end - 1 - two] = _FIRST[data]
+    own[(end - 2 - two)[again]] = REPEATED
     code = own.copy()
-    place = np.arange(len(own)) - np.repeat(at[:-1], np.diff(at))
+    place = np.arange(len(own)) - np.repeat(begin[:-1], np.diff(begin))
     for back in range(1, ORDER):
         earlier = np.full(len(own), BREAK, np.uint32)
         earlier[back:] = own[:-back]
         earlier[place < back] = BREAK
         code |= earlier << np.uint32(BITS * back)
-    return code, np.diff(of) > 0
+    return code, begin, np.diff(of) > 0
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    """The model's shard, by the last DENSE symbols of the context."""
+    context = (grams.astype(np.uint64) >> np.uint64(BITS)) & np.uint64((1 << BITS * DENSE) - 1)
+    return (((context * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) * np.uint64(BUCKETS) >> np.uint64(32)).astype(np.int32)
+
+
+def _dealt(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted n-grams -> their order by shard, the shards that occur, and where each begins in it."""
+    bucket = _bucket(grams)
+    order = np.argsort(bucket, kind="stable")
+    buckets, start = np.unique(bucket[order], return_index=True)
+    return order, buckets, np.append(start, len(grams))
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """Sorted n-grams as differences, byte by byte of all, which compresses."""
+    return np.diff(grams, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, sorted, and the sums of their counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    return grams[start], np.add.reduceat(n, start) if len(start) else n
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """docs (text) -> (gram, n), from a dense table for each task, then summed by n-gram."""
+    """docs (text) -> (bucket, grams, n): the distinct n-grams of each shard of the model, sorted, and their counts; summed in each task, then by shard."""
     bound_batches(docs.sparkSession)
+    schema = "bucket int, grams binary, n binary"
+
+    def given(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order, buckets, start = _dealt(grams)
+        cuts = list(zip(start[:-1], start[1:]))
+        packed = [_packed(grams[order[lo:hi]]) for lo, hi in cuts]
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packed, pa.binary()), pa.array([n[order[lo:hi]].astype("<i8").tobytes() for lo, hi in cuts], pa.binary())], names=["bucket", "grams", "n"])
 
-    def run(batches):
-        table_ = np.zeros(1 << BITS * ORDER, np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, waiting = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), [], 0
         for _, data, at in slices(batches):
             if len(data):
-                grams, n = np.unique(gram_codes(data, at)[0], return_counts=True)
-                table_[grams] += n.astype(np.int32)
-        grams = np.flatnonzero(table_)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(table_[grams].astype(np.int64))], names=["gram", "n"])
+                parts.append(np.unique(gram_codes(data, at)[0], return_counts=True))
+                waiting += len(parts[-1][0])
+            if waiting > HELD // 2:
+                held = _summed(*(np.concatenate(x) for x in zip(held, *parts)))
+                parts, waiting = [], 0
+            if len(held[0]) > HELD:
+                yield given(*held)
+                held = (held[0][:0], held[1][:0])
+        held = _summed(*(np.concatenate(x) for x in zip(held, *parts)))
+        if len(held[0]):
+            yield given(*held)
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        grams, n = _summed(np.concatenate([_unpacked(g) for g in rows["grams"]]), np.concatenate([np.frombuffer(x, "<i8") for x in rows["n"]]))
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "grams": [_packed(grams)], "n": [n.astype("<i8").tobytes()]})
+
+    return docs.select("text").mapInArrow(run, schema).groupBy("bucket").applyInPandas(total, schema)
+
+
+def _shorter(grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of one order less, and how many different symbols come before each."""
+    return np.unique(grams & np.uint32((1 << BITS * (order - 1)) - 1), return_counts=True)
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
+def _orders(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Distinct n-grams and counts of all orders above DENSE, highest first; all of them lie in one shard."""
+    for k in range(ORDER, DENSE, -1):
+        yield k, grams, n
+        if k > DENSE + 1:
+            grams, n = _shorter(grams, k)
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """What n-grams seen once, twice and more often give away."""
-    row = counts.agg(*[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in range(1, 5)]).first()
-    n = [float(x) for x in row]
+
+def _discounts(n: np.ndarray) -> list[float]:
+    """What n-grams seen once, twice and more often give away, by how many were seen once to four times."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     return [min(float(k), max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.0 for k in (1, 2, 3)]
 
 
-def _shares(counts: DataFrame) -> DataFrame:
-    """counts (gram, n) of one order -> (gram, context, share, weight): an n-gram's discounted share of its context, and what the context gives to the next lower order; met in a join by context."""
-    once, twice, more = _discounts(counts)
-    gives = F.when(F.col("n") == 1, once).when(F.col("n") == 2, twice).otherwise(more)
-    totals = counts.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"), F.sum(gives).alias("given"))
-    return counts.withColumn("context", F.shiftright("gram", BITS)).join(totals, "context").select("gram", "context", ((F.col("n") - gives) / F.col("total")).alias("share"), (F.col("given") / F.col("total")).alias("weight"))
+def _seen(n: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5]
 
 
-def _dense(seen: pd.DataFrame, lower: np.ndarray, firsts: int) -> np.ndarray:
-    """Probabilities of all n-grams of one order that begin with one of `firsts` classes, from those seen and those of the next lower order."""
-    weight = np.ones(firsts * len(lower) // CLASSES, np.float32)
-    weight[seen["context"].to_numpy()] = seen["weight"].to_numpy()
-    out = (weight.reshape(firsts, -1, 1) * lower.reshape(1, -1, CLASSES)).ravel()
-    out[seen["gram"].to_numpy()] += seen["share"].to_numpy()
-    return out
+def _interpolated(asked: np.ndarray, below: np.ndarray, grams: np.ndarray, n: np.ndarray, discounts: list[float]) -> np.ndarray:
+    """Probabilities of n-grams of one order, from those of the next lower one, the sorted n-grams seen and their counts."""
+    if not len(grams):
+        return below
+    gives = np.array([0.0, *discounts])[np.minimum(n, 3)]
+    contexts, start = np.unique(grams >> np.uint32(BITS), return_index=True)
+    totals = np.add.reduceat(n.astype(np.float64), start)
+    context = asked >> np.uint32(BITS)
+    of = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+    at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+    own = np.where(grams[at] == asked, (n - gives)[at], 0.0)
+    return np.where(contexts[of] == context, (own + np.add.reduceat(gives, start)[of] * below) / totals[of], below)
+
+
+class Model:
+    """counts (bucket, grams, n) in shards, the discounts of each order, and a dense table of the probabilities of order DENSE."""
+
+    def __init__(self, counts: DataFrame, discounts: dict[int, list[float]], dense: np.ndarray):
+        self.counts, self.discounts, self.dense = counts, discounts, dense
 
+    def kernel(self):
+        """The function that looks n-grams up in a shard of the model: (n-grams, the shard's packed n-grams, their counts) -> bits."""
+        discounts, dense = self.discounts, self.dense
 
-def model(docs: DataFrame) -> np.ndarray:
-    """Bits of every n-gram, given its first ORDER - 1 classes, as a dense table; uniform if there are no docs.
+        def run(asked: np.ndarray, packed: bytes, n: bytes) -> np.ndarray:
+            p = dense[asked & np.uint32(len(dense) - 1)].astype(np.float64)
+            for k, grams, each in reversed(list(_orders(_unpacked(packed), np.frombuffer(n, "<i8")))):
+                p = _interpolated(asked & np.uint32((1 << BITS * k) - 1), p, grams, each, discounts[k])
+            return _bits(p)
 
-    Each order's counts meet their contexts' totals in joins by n-gram. The lower orders, CLASSES ** (ORDER - 1) n-grams
-    at most, are put together on the driver; the highest order is in tasks, a part for each first class, of which the
-    driver gets 2 bytes for each n-gram of the contexts seen, 32 MB at most.
+        return run
+
+    def __getitem__(self, at: int | slice) -> np.ndarray:
+        """The bits of a few n-grams."""
+        codes = np.arange(*at.indices(1 << BITS * ORDER), dtype=np.uint32) if isinstance(at, slice) else np.array([at], np.uint32)
+        asked, run = codes, self.kernel()
+        out, bucket = np.empty(len(asked), np.float16), _bucket(asked)
+        rows = {r.bucket: r for r in self.counts.where(F.col("bucket").isin(np.unique(bucket).tolist())).collect()}
+        for b in np.unique(bucket).tolist():
+            r = rows.get(b)
+            out[bucket == b] = run(asked[bucket == b], bytes(r.grams) if r else b"", bytes(r.n) if r else b"")
+        return out if isinstance(at, slice) else out[0]
+
+
+def model(docs: DataFrame) -> Model:
+    """The model of all texts of docs; uniform if there are none.
+
+    How often n-grams of the orders above DENSE were seen, and the continuation counts of order DENSE, CLASSES ** DENSE at
+    most, are all that the driver gets.
     """
-    counts = {ORDER: cut(count_grams(docs))}
-    for k in range(ORDER - 1, 0, -1):  # how many different classes come before
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        counts[k] = cut(counts[k + 1].groupBy(shorter.alias("gram")).agg(F.count("*").alias("n")))
-    lower = np.full(CLASSES, 1 / CLASSES, np.float32)  # of order 0
-    for k in range(1, ORDER):
-        lower = _dense(_shares(counts[k]).toPandas(), lower, 1 if k == 1 else CLASSES)
-    size, row = 1 << BITS * (ORDER - 1), 1 << BITS * (ORDER - 2)
-
-    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        first = key[0]
-        own = _dense(rows.assign(gram=rows["gram"] - first * size, context=rows["context"] - first * row), lower, 1)
-        contexts = np.unique(rows["context"].to_numpy())
-        return pd.DataFrame({"contexts": [contexts.astype(np.int32).tobytes()], "bits": [_bits(own.reshape(row, CLASSES)[contexts - first * row]).tobytes()]})
-
-    parts = _shares(counts[ORDER]).groupBy(F.shiftright("gram", BITS * (ORDER - 1)).alias("first")).applyInPandas(part, "contexts binary, bits binary")
-    out = np.empty((CLASSES, row, CLASSES), np.float16)
-    out[:] = _bits(lower.copy()).reshape(row, CLASSES)  # of contexts that no n-gram was seen in
-    out = out.reshape(CLASSES * row, CLASSES)
-    for r in parts.collect():
-        out[np.frombuffer(r.contexts, np.int32)] = np.frombuffer(r.bits, np.float16).reshape(-1, CLASSES)
-    return out.ravel()
+    counts = cut(count_grams(docs))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (k, key, n): for an order k above DENSE how many n-grams were seen `key` times, for DENSE itself the n-grams."""
+        seen, lower = np.zeros((ORDER + 1, 4), np.int64), np.zeros(1 << BITS * DENSE, np.int64)
+        for batch in batches:
+            for packed, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, grams, each in _orders(_unpacked(packed), np.frombuffer(n, "<i8")):
+                    seen[k] += _seen(each)
+                    if k == DENSE + 1:
+                        short, before = _shorter(grams, k)
+                        lower[short] += before
+        k, key = np.nonzero(seen)
+        own = np.flatnonzero(lower)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, np.full(len(own), DENSE)).astype(np.int32)), pa.array(np.append(key, own).astype(np.int32)), pa.array(np.append(seen[k, key], lower[own]))], names=["k", "key", "n"])
+
+    rows = counts.select("grams", "n").mapInArrow(told, "k int, key int, n long").groupBy("k", "key").agg(F.sum("n").alias("n")).toPandas()
+    seen = {k: np.zeros(4) for k in range(1, ORDER + 1)}
+    for k in range(DENSE + 1, ORDER + 1):
+        of = rows[rows["k"] == k]
+        seen[k][of["key"].to_numpy()] = of["n"].to_numpy()
+    of = rows[rows["k"] == DENSE].sort_values("key")
+    lower = {DENSE: (of["key"].to_numpy().astype(np.uint32), of["n"].to_numpy())}
+    for k in range(DENSE, 0, -1):
+        seen[k] = _seen(lower[k][1])
+        lower[k - 1] = _shorter(lower[k][0], k)
+    discounts = {k: _discounts(n) for k, n in seen.items()}
+    dense = np.full(1 << BITS * DENSE, 1 / CLASSES)
+    for k in range(1, DENSE + 1):
+        dense = _interpolated(np.arange(len(dense), dtype=np.uint32) & np.uint32((1 << BITS * k) - 1), dense, *lower[k], discounts[k])
+    return Model(counts, discounts, dense.astype(np.float32))
 
 
 def _bits(p: np.ndarray) -> np.ndarray:
@@ -151,17 +267,101 @@ def learned(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(pure.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
 
 
-def score(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """docs (doc_id, lang, text), the model's bits -> (doc_id, lang, mark, n_bytes, bits), bits per byte; null for a text without words. mark is a hash of the text."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The distinct n-grams of all texts, sorted."""
+    held, parts = np.zeros(0, np.uint32), []
+    for _, data, at in slices(batches):
+        parts.append(np.unique(gram_codes(data, at)[0]))
+        if sum(map(len, parts)) > HELD // 2:
+            held, parts = np.unique(np.concatenate([held, *parts])), []
+    return np.unique(np.concatenate([held, *parts]))
+
+
+def _in_shards(docs: DataFrame) -> DataFrame:
+    """docs with a shard by id and text, SHARD_BYTES of text in each on average."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // SHARD_BYTES + 1)).cast("int"))
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    """docs (shard, text) -> (shard, bucket, grams): the distinct n-grams of each shard of documents, by shards of the model."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        grams = _distinct(rows.to_batches())
+        order, buckets, start = _dealt(grams)
+        packed = [_packed(grams[order[lo:hi]]) for lo, hi in zip(start[:-1], start[1:])]
+        return pa.table({"shard": pa.array([rows["shard"][0].as_py()] * len(buckets), pa.int32()), "bucket": pa.array(buckets, pa.int32()), "grams": pa.array(packed, pa.binary())})
+
+    return docs.select("shard", "text").groupBy("shard").applyInArrow(run, "shard int, bucket int, grams binary")
+
 
-    def kernel(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        each = np.diff(at)
-        codes, wordy = gram_codes(data, at)
-        total = np.concatenate([[0.0], np.cumsum(shared.value[codes], dtype=np.float64)])
-        mean = (total[at[1:]] - total[at[:-1]]) / np.maximum(each, 1)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(each), pa.array(mean, mask=~wordy)], names=["doc_id", "lang", "mark", "n_bytes", "bits"])
+def _answered(asked: DataFrame, known: Model) -> DataFrame:
+    """asked (shard, bucket, grams) -> (shard, bucket, bits), from a join with the model's shards."""
+    kernel = known.kernel()
 
-    return map_slices(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark")), kernel, "doc_id long, lang string, mark long, n_bytes long, bits double")
+    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        grams = [_unpacked(g) for g in rows["grams"]]
+        bits = kernel(np.concatenate([np.zeros(0, np.uint32), *grams]), own["grams"].iloc[0] if len(own) else b"", own["n"].iloc[0] if len(own) else b"")
+        parts = np.split(bits, np.cumsum([len(g) for g in grams])[:-1]) if grams else []
+        return pd.DataFrame({"shard": rows["shard"], "bucket": rows["bucket"], "bits": [x.tobytes() for x in parts]})
+
+    return asked.groupBy("bucket").cogroup(known.counts.groupBy("bucket")).applyInPandas(run, "shard int, bucket int, bits binary")
+
+
+def _placed(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each 2 ** PLACES codes: where they begin, the distinct ones sorted, how often each occurs, and the places of all in that order."""
+    for lo in range(0, len(codes), 1 << PLACES):
+        part = codes[lo : lo + (1 << PLACES)].astype(np.uint64)
+        part = np.sort(part << np.uint64(PLACES) | np.arange(len(part), dtype=np.uint64))
+        own = (part >> np.uint64(PLACES)).astype(np.uint32)
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        yield lo, own[start], np.diff(np.append(start, len(own))), (part & np.uint64((1 << PLACES) - 1)).astype(np.int32)
+
+
+def _sums(begin: np.ndarray, placed: list, grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The sum of the bits of each text's n-grams, which are all among the sorted `grams`."""
+    out = np.zeros(len(begin) - 1)
+    for lo, own, n, place in placed:
+        each = np.empty(len(place))
+        each[place] = np.repeat(bits[np.searchsorted(grams, own)], n)
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        out += np.diff(total[np.clip(begin - lo, 0, len(place))])
+    return out
+
+
+def score(docs: DataFrame, known: Model) -> DataFrame:
+    """docs (doc_id, lang, text), the model -> (doc_id, lang, mark, n_bytes, bits), bits per byte; null for a text without words. mark is a hash of the text.
+
+    Texts move twice to their shards, first for the n-grams to ask for, then to meet the answers; what the first move
+    wrote is gone before the second.
+    """
+    bound_batches(docs.sparkSession)
+    shards = _in_shards(docs.select("doc_id", "lang", "text"))
+    answers = cut(_answered(_asked(shards), known))
+    release(answers)
+    names = ["doc_id", "lang", "mark", "n_bytes", "bits"]
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        each, begins, without, placed = [np.zeros(0, np.int64)], [], [np.zeros(0, bool)], []
+        for _, data, at in slices(rows.to_batches()):
+            codes, begin, wordy = gram_codes(data, at)
+            each.append(np.diff(at))
+            begins.append(begin)
+            without.append(~wordy)
+            placed.append(list(_placed(codes)))
+        grams = np.unique(np.concatenate([np.zeros(0, np.uint32), *(own for x in placed for _, own, _, _ in x)]))
+        by_bucket = dict(zip(told["bucket"].to_pylist(), told["bits"].to_pylist()))
+        order, buckets, start = _dealt(grams)
+        bits = np.empty(len(grams))
+        for b, lo, hi in zip(buckets.tolist(), start[:-1], start[1:]):
+            bits[order[lo:hi]] = np.frombuffer(by_bucket[b], np.float16)
+        each = np.concatenate(each)
+        total = np.concatenate([np.zeros(0), *(_sums(begin, x, grams, bits) for begin, x in zip(begins, placed))])
+        mean = pa.array(total / np.maximum(each, 1), mask=np.concatenate(without))
+        return pa.table([rows["doc_id"], rows["lang"], rows["mark"], pa.array(each), mean], names=names)
+
+    texts = shards.withColumn("mark", F.xxhash64("text"))
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "doc_id long, lang string, mark long, n_bytes long, bits double")
 
 
 def _drawn() -> Column:
@@ -187,10 +387,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     that aren't toxic; thresholds go by all of them, as toxicity isn't what it judges.
     """
     ids = cut(trusted_ids(labels))
-    shared = docs.sparkSession.sparkContext.broadcast(model(learned(docs, ids)))
+    known_ = model(learned(docs, ids))
     release(ids)  # the texts that were counted
-    scored = cut(score(docs, shared))
-    shared.destroy()  # the scores are written; no lost executor needs the model again
+    scored = cut(score(docs, known_))
+    release(scored)  # the texts that were scored
     known = cut(scored.where("bits is not null").join(ids, "doc_id", "left_semi").select("lang", "n_bytes", "bits"))
     median = (F.col("bits"), 0.5, "median")
     limit = (_drawn(), quantile, "limit")
