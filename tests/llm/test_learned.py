@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 import plain
 from vigilspark.llm import language, license_scan, media, quality
+from vigilspark.llm.common import cut, release
 from vigilspark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -217,6 +218,35 @@ def test_quality_learns_from_all(spark, monkeypatch):
     assert out.count() == 25_000
 
 
+def test_pipeline_good_tells_scrambled_scripts(spark, tmp_path):
+    """The pipeline's first stage drops texts whose two-byte letters are exchanged for others with the same first byte and last two bits."""
+    rng = random.Random(5)
+    words = "вода город дорога человек время рука дело жизнь день голова ребенок сила конец вид система часть отношение женщина деньги земля машина".split()
+    prose = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(300)]
+    alike = {c: [x for x in map(chr, range(0x430, 0x450)) if x.encode()[0] == c.encode()[0] and ord(x) % 4 == ord(c) % 4] for c in set("".join(words))}
+    junk = ["".join(rng.choice(alike.get(c, c)) for c in t) for t in prose[200:]]
+    docs = spark.createDataFrame([(i, "ru", t) for i, t in enumerate(prose + junk)], "doc_id long, lang string, text string")
+    spark.range(200).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.good(spark, docs, str(tmp_path)).collect()}
+    assert len([i for i in kept if i < 300]) >= 285 and not [i for i in kept if i >= 300]
+
+
+def test_release_frees_shuffles(spark):
+    """Shuffle files of tables that nothing refers to are gone when release() returns."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def blocks():
+        return {b for b in manager.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    release(docs)
+    before = blocks()
+    known = quality.model(quality.learned(docs, cut(quality.trusted_ids(labels))))
+    assert blocks() - before
+    release(docs)
+    assert known is not None and not blocks() - before
+
+
 def test_media_round_trip(spark, sf_dir):
     docs = spark.createDataFrame(list(enumerate([*plain.ODD, "x" * 64, "x" * 64, "y" * 65])), "doc_id long, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text"))
     out = {r.doc_id: r for r in media.media_report(docs).collect()}
