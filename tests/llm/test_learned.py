@@ -231,6 +231,38 @@ def test_pipeline_good_tells_scrambled_scripts(spark, tmp_path):
     assert len([i for i in kept if i < 300]) >= 285 and not [i for i in kept if i >= 300]
 
 
+def test_quality_ngrams_have_whole_characters():
+    """An n-gram spans five whole characters of up to two symbols, three ideographs, and none begins within one; the break that ends a text has one too."""
+
+    def codes(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return quality.gram_codes(raw, np.array([0, len(raw)]))[0].tolist()
+
+    for text, n in (("abcdef", 5), ("ABCDEF", 5), ("приват", 5), ("αβγδεζ", 5), ("שלוםאב", 5), ("730192", 5), ("aЖ1,éZ", 5), ("世界人民大会", 3)):
+        seen = {c: codes(text[:-1] + c)[-2] for c in text}
+        assert len(set(seen.values())) == len(text)
+        for back in range(1, len(text)):
+            other = text[: -1 - back] + ("大" if n == 3 and text[-1 - back] != "大" else "q") + text[len(text) - back :]
+            assert (codes(other)[-2] == codes(text)[-2]) == (back >= n), (text, back)
+    assert codes("éabcd")[-2] != codes("Ѐbcd")[-2]  # the second byte of one was the first of the other
+    assert all(codes(t)[-1] % quality.CLASSES == quality.BREAK for t in ("", "a", "a.", "世"))
+
+
+def test_pipeline_good_sees_as_far_in_any_script(spark, tmp_path):
+    """The pipeline's first stage drops texts whose words end in letters that go with other first ones, three letters before in Cyrillic and two ideographs before."""
+    rng = random.Random(3)
+    kinds = {"ru": ("вгджзклм", ["ор", "ен", "ат", "ил", "ус", "ын"], "тпсрнбфх", " "), "zh": ("一世人民大会国家", list("中上下分年作"), "生时要出可也你对", "")}
+    rows = []
+    for lang, (first, middle, last, gap) in kinds.items():
+        for i in range(400):
+            picks = [rng.randrange(8) for _ in range(40)]
+            rows.append((len(rows), lang, gap.join(first[k] + rng.choice(middle) + last[(k + (rng.randrange(1, 8) if i >= 300 else 0)) % 8] for k in picks)))
+    spark.createDataFrame([(d, 1, 0) for d, _, _ in rows if d % 400 < 200], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.good(spark, spark.createDataFrame(rows, "doc_id long, lang string, text string"), str(tmp_path)).collect()}
+    for lo in (0, 400):
+        assert len(kept & set(range(lo, lo + 300))) >= 280 and not kept & set(range(lo + 300, lo + 400)), lo
+
+
 def test_release_frees_shuffles(spark):
     """Shuffle files of tables that nothing refers to are gone when release() returns."""
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()

@@ -1,8 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded by language.
 
-The model is of order 5 over 64 symbols that spell a text's bytes without loss: small letters, the usual white space, the
-full stop and the parts of two-byte letters are one symbol, all else two; an own symbol marks a word that repeats the one
-before it, so that text which stutters is as surprising as odd symbols. N-grams are counted over all trusted documents
+The model is of whole characters, the last CHARACTERS of them, spelled without loss by 64 symbols: small letters, the usual
+white space and the full stop are one symbol, other ASCII and a letter of the usual two-byte scripts two, an ideograph
+three; ORDER symbols at most, so that fewer ideographs fit. An own symbol marks a word that repeats the one before it, so
+that text which stutters is as surprising as odd symbols. Breaks stand before a text and end it, and fill the n-grams of
+fewer symbols; these go through the orders between unchanged. N-grams are counted over all trusted documents
 and summed by shards of the model, which hold all n-grams whose contexts end in the same DENSE symbols; so orders above
 DENSE are put together within a shard, and only the orders up to DENSE, CLASSES ** DENSE probabilities, are a table that
 goes to tasks. Scoring joins as well: documents are dealt into shards of their own, whose distinct n-grams meet the
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, release, slices
 from .shingles import word_hashes
 
-BITS, ORDER, DENSE = 6, 5, 3
+BITS, ORDER, DENSE, CHARACTERS = 6, 10, 3, 5
 CLASSES = 1 << BITS
 PRIOR, QUANTILE, ACCURACY = 64, 0.995, 10_000
 #: Thresholds of so many languages are broadcast; those of more are joined by a shuffle.
@@ -32,10 +34,14 @@ LANGUAGES = 10_000
 BUCKETS, SHARD_BYTES = 512, 8 << 20
 #: A task that counts gives away its sums once it has so many n-grams.
 HELD = 4 << 20
-#: N-grams are sorted with their places in so many bits.
-PLACES = 21
-#: Symbols from SHIFT on; two-byte leads lie between SHIFT and SPACE, the second of an escaped byte is its low bits.
-SHIFT, LEAD2, SPACE, BREAK, STOP, LOW, HIGH, LEAD, REPEATED = 26, 27, 57, 58, 59, 60, 61, 62, 63
+#: N-grams that are looked up in one go.
+LOOKED_UP = 1 << 20
+#: Codes whose places are found in one go.
+PLACED = 2 << 20
+#: Symbols from SHIFT on; LEADS lie between SHIFT and SPACE, the second of an escaped byte is its low bits.
+SHIFT, OWN, SPACE, BREAK, STOP, LOW, HIGH, LEAD, REPEATED = 26, 27, 57, 58, 59, 60, 61, 62, 63
+#: First bytes that are one symbol: those of Latin, Greek, Cyrillic, Hebrew and Arabic letters and of all three-byte characters.
+LEADS = np.r_[0xC2:0xC6, 0xCE:0xD2, 0xD6:0xDC, 0xE0:0xF0]
 
 
 def _symbols() -> tuple[np.ndarray, np.ndarray]:
@@ -44,16 +50,34 @@ def _symbols() -> tuple[np.ndarray, np.ndarray]:
     first = np.select([byte < 64, byte < 128, byte < 192], [LOW, HIGH, byte & 63], LEAD).astype(np.uint8)
     second = np.where((byte >= 128) & (byte < 192), REPEATED + 1, byte & 63).astype(np.uint8)
     first[65:91], second[65:91] = SHIFT, np.arange(26)
-    for own, symbols in ((slice(97, 123), np.arange(26)), (slice(0xC2, 0xE0), LEAD2 + np.arange(30)), (32, SPACE), (10, BREAK), (46, STOP)):
+    for own, symbols in ((slice(97, 123), np.arange(26)), (LEADS, OWN + np.arange(len(LEADS))), (32, SPACE), (10, BREAK), (46, STOP)):
         first[own], second[own] = symbols, REPEATED + 1
     return first, second
 
 
 _FIRST, _SECOND = _symbols()
+#: The bits that an n-gram of so many symbols has, and the breaks that fill the others.
+_HAS = np.array([(1 << BITS * n) - 1 for n in range(ORDER + 1)], np.uint64)
+_FILL = np.array([sum(BREAK << BITS * k for k in range(n, ORDER)) for n in range(ORDER + 1)], np.uint64)
+
+
+def _reach(first: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """How many symbols the n-gram has that ends in each of n symbols: the whole characters that fit, CHARACTERS at most. first: the first symbol of each character; begin: that of each text, and n."""
+    least = np.repeat(begin[:-1], np.diff(np.searchsorted(first, begin)))
+    from_ = np.concatenate([np.zeros(CHARACTERS - 1, first.dtype), first])[: len(first)]
+    reach = np.arange(1, n + 1) - np.repeat(np.maximum(from_, least), np.diff(np.append(first, n)))
+    wide = np.flatnonzero(reach > ORDER)
+    character = np.searchsorted(first, wide, "right") - 1
+    for back in range(CHARACTERS - 2, -1, -1):
+        reach[wide] = wide + 1 - np.maximum(first[np.maximum(character - back, 0)], least[character])
+        still = reach[wide] > ORDER
+        wide, character = wide[still], character[still]
+    return np.minimum(reach, ORDER)
 
 
 def gram_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The code of the n-gram that ends in each symbol, ORDER symbols of BITS bits, filled with breaks before the text; where each text's codes begin; which texts have words."""
+    """The code of the n-gram that ends in each symbol and in the break after each text, ORDER symbols of BITS bits, filled with breaks; where each text's codes begin; which texts have words."""
+    data, at = np.insert(data, at[1:], 10), at + np.arange(len(at))
     words, of, first = word_hashes(data, at)
     same = np.zeros(len(words), bool)
     same[1:] = words[1:] == words[:-1]
@@ -64,18 +88,19 @@ def gram_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     two = second < CLASSES
     end = np.cumsum(1 + two + again, dtype=np.int64)
     begin = np.concatenate([[0], end])[at]
-    own = np.empty(begin[-1], np.uint32)
-    own[end - 1] = second  # of bytes that have none, overwritten below
+    own = np.empty(begin[-1], np.uint64)
     own[end - 1 - two] = _FIRST[data]
+    own[(end - 1)[two]] = second[two]
     own[(end - 2 - two)[again]] = REPEATED
-    code = own.copy()
-    place = np.arange(len(own)) - np.repeat(begin[:-1], np.diff(begin))
-    for back in range(1, ORDER):
-        earlier = np.full(len(own), BREAK, np.uint32)
-        earlier[back:] = own[:-back]
-        earlier[place < back] = BREAK
-        code |= earlier << np.uint32(BITS * back)
-    return code, begin, np.diff(of) > 0
+    starts = (data & 0xC0) != 0x80
+    starts[at[:-1]] = True
+    reach = _reach((end - 1 - two - again)[starts], begin, len(own))
+    code, have = own, 1
+    while have < ORDER:  # what the n-gram of `have` symbols that ends before it has, as far as it fits
+        code, earlier = code.copy(), code
+        code[have:] |= earlier[:-have] << np.uint64(BITS * have)
+        have *= 2
+    return (code & _HAS[reach]) | _FILL[reach], begin, np.diff(of) > 0
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
@@ -94,11 +119,11 @@ def _dealt(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _packed(grams: np.ndarray) -> bytes:
     """Sorted n-grams as differences, byte by byte of all, which compresses."""
-    return np.diff(grams, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return np.diff(grams, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
 def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +134,13 @@ def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[start], np.add.reduceat(n, start) if len(start) else n
 
 
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, sorted, and how often each occurs; a hash table is quicker than sorting all."""
+    of, grams = pd.factorize(codes)
+    order = np.argsort(grams)
+    return grams[order], np.bincount(of, minlength=len(grams))[order]
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """docs (text) -> (bucket, grams, n): the distinct n-grams of each shard of the model, sorted, and their counts; summed in each task, then by shard."""
     bound_batches(docs.sparkSession)
@@ -121,10 +153,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packed, pa.binary()), pa.array([n[order[lo:hi]].astype("<i8").tobytes() for lo, hi in cuts], pa.binary())], names=["bucket", "grams", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, waiting = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), [], 0
+        held, parts, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
         for _, data, at in slices(batches):
             if len(data):
-                parts.append(np.unique(gram_codes(data, at)[0], return_counts=True))
+                parts.append(_counted(gram_codes(data, at)[0]))
                 waiting += len(parts[-1][0])
             if waiting > HELD // 2:
                 held = _summed(*(np.concatenate(x) for x in zip(held, *parts)))
@@ -145,7 +177,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def _shorter(grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of one order less, and how many different symbols come before each."""
-    return np.unique(grams & np.uint32((1 << BITS * (order - 1)) - 1), return_counts=True)
+    return np.unique(grams & np.uint64((1 << BITS * (order - 1)) - 1), return_counts=True)
 
 
 def _orders(grams: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -171,15 +203,35 @@ def _interpolated(asked: np.ndarray, below: np.ndarray, grams: np.ndarray, n: np
     if not len(grams):
         return below
     gives = np.array([0.0, *discounts])[np.minimum(n, 3)]
-    contexts, start = np.unique(grams >> np.uint32(BITS), return_index=True)
+    contexts, start = np.unique(grams >> np.uint64(BITS), return_index=True)
     totals = np.add.reduceat(n.astype(np.float64), start)
-    context = asked >> np.uint32(BITS)
+    context = asked >> np.uint64(BITS)
     of = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
     at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
     own = np.where(grams[at] == asked, (n - gives)[at], 0.0)
     return np.where(contexts[of] == context, (own + np.add.reduceat(gives, start)[of] * below) / totals[of], below)
 
 
+def _looked_up(asked: np.ndarray, levels: list, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of n-grams, from a shard's orders above DENSE, highest first; and those by counts without one occurrence of each, which a lower order loses if the higher one had no other."""
+    lost, found = np.ones(len(asked), bool), []
+    for k, grams, n, gives, contexts, totals, given in levels:
+        own = asked & np.uint64((1 << BITS * k) - 1)
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        count = np.where(grams[at] == own, n[at], 0)
+        of = np.minimum(np.searchsorted(contexts, own >> np.uint64(BITS)), len(contexts) - 1)
+        lost = lost & (count > 0)
+        found.append((gives, count, np.where(contexts[of] == own >> np.uint64(BITS), totals[of], 0), given[of], lost))
+        lost = lost & (count == 1)
+    p = less = dense[asked & np.uint64(len(dense) - 1)].astype(np.float64)
+    for gives, count, total, given, lost in reversed(found):
+        own, left = gives[np.minimum(count, 3)], count - lost
+        p = np.where(total > 0, (count - own + given * p) / np.maximum(total, 1), p)
+        own, given = gives[np.minimum(left, 3)], given - own + gives[np.minimum(left, 3)]
+        less = np.where(total > lost, (left - own + given * less) / np.maximum(total - lost, 1), less)
+    return _bits(p), _bits(less)
+
+
 class Model:
     """counts (bucket, grams, n) in shards, the discounts of each order, and a dense table of the probabilities of order DENSE."""
 
@@ -187,26 +239,29 @@ class Model:
         self.counts, self.discounts, self.dense = counts, discounts, dense
 
     def kernel(self):
-        """The function that looks n-grams up in a shard of the model: (n-grams, the shard's packed n-grams, their counts) -> bits."""
+        """The function that looks n-grams up in a shard of the model: (n-grams, the shard's packed n-grams, their counts) -> bits, and bits if each had been seen once less."""
         discounts, dense = self.discounts, self.dense
 
-        def run(asked: np.ndarray, packed: bytes, n: bytes) -> np.ndarray:
-            p = dense[asked & np.uint32(len(dense) - 1)].astype(np.float64)
-            for k, grams, each in reversed(list(_orders(_unpacked(packed), np.frombuffer(n, "<i8")))):
-                p = _interpolated(asked & np.uint32((1 << BITS * k) - 1), p, grams, each, discounts[k])
-            return _bits(p)
+        def run(asked: np.ndarray, packed: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+            levels = []
+            for k, grams, each in _orders(_unpacked(packed), np.frombuffer(n, "<i8")) if packed else ():
+                gives = np.array([0.0, *discounts[k]])
+                contexts, start = np.unique(grams >> np.uint64(BITS), return_index=True)
+                levels.append((k, grams, each, gives, contexts, np.add.reduceat(each, start), np.add.reduceat(gives[np.minimum(each, 3)], start)))
+            parts = [_looked_up(asked[lo : lo + LOOKED_UP], levels, dense) for lo in range(0, len(asked), LOOKED_UP)]
+            return tuple(np.concatenate([np.zeros(0, np.float16), *x]) for x in (zip(*parts) if parts else ((), ())))
 
         return run
 
     def __getitem__(self, at: int | slice) -> np.ndarray:
         """The bits of a few n-grams."""
-        codes = np.arange(*at.indices(1 << BITS * ORDER), dtype=np.uint32) if isinstance(at, slice) else np.array([at], np.uint32)
+        codes = np.arange(*at.indices(1 << BITS * ORDER), dtype=np.uint64) if isinstance(at, slice) else np.array([at], np.uint64)
         asked, run = codes, self.kernel()
         out, bucket = np.empty(len(asked), np.float16), _bucket(asked)
         rows = {r.bucket: r for r in self.counts.where(F.col("bucket").isin(np.unique(bucket).tolist())).collect()}
         for b in np.unique(bucket).tolist():
             r = rows.get(b)
-            out[bucket == b] = run(asked[bucket == b], bytes(r.grams) if r else b"", bytes(r.n) if r else b"")
+            out[bucket == b] = run(asked[bucket == b], bytes(r.grams) if r else b"", bytes(r.n) if r else b"")[0]
         return out if isinstance(at, slice) else out[0]
 
 
@@ -238,21 +293,19 @@ def model(docs: DataFrame) -> Model:
         of = rows[rows["k"] == k]
         seen[k][of["key"].to_numpy()] = of["n"].to_numpy()
     of = rows[rows["k"] == DENSE].sort_values("key")
-    lower = {DENSE: (of["key"].to_numpy().astype(np.uint32), of["n"].to_numpy())}
+    lower = {DENSE: (of["key"].to_numpy().astype(np.uint64), of["n"].to_numpy())}
     for k in range(DENSE, 0, -1):
         seen[k] = _seen(lower[k][1])
         lower[k - 1] = _shorter(lower[k][0], k)
     discounts = {k: _discounts(n) for k, n in seen.items()}
     dense = np.full(1 << BITS * DENSE, 1 / CLASSES)
     for k in range(1, DENSE + 1):
-        dense = _interpolated(np.arange(len(dense), dtype=np.uint32) & np.uint32((1 << BITS * k) - 1), dense, *lower[k], discounts[k])
+        dense = _interpolated(np.arange(len(dense), dtype=np.uint64) & np.uint64((1 << BITS * k) - 1), dense, *lower[k], discounts[k])
     return Model(counts, discounts, dense.astype(np.float32))
 
 
 def _bits(p: np.ndarray) -> np.ndarray:
-    np.maximum(p, 2.0**-24, out=p)
-    np.log2(p, out=p)
-    return np.negative(p, out=p).astype(np.float16)
+    return -np.log2(np.maximum(p, 2.0**-24)).astype(np.float16)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -269,9 +322,9 @@ def learned(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """The distinct n-grams of all texts, sorted."""
-    held, parts = np.zeros(0, np.uint32), []
+    held, parts = np.zeros(0, np.uint64), []
     for _, data, at in slices(batches):
-        parts.append(np.unique(gram_codes(data, at)[0]))
+        parts.append(pd.unique(gram_codes(data, at)[0]))
         if sum(map(len, parts)) > HELD // 2:
             held, parts = np.unique(np.concatenate([held, *parts])), []
     return np.unique(np.concatenate([held, *parts]))
@@ -296,41 +349,36 @@ def _asked(docs: DataFrame) -> DataFrame:
 
 
 def _answered(asked: DataFrame, known: Model) -> DataFrame:
-    """asked (shard, bucket, grams) -> (shard, bucket, bits), from a join with the model's shards."""
+    """asked (shard, bucket, grams) -> (shard, bucket, bits, less), from a join with the model's shards; less: the bits if each n-gram had been seen once less."""
     kernel = known.kernel()
 
     def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         grams = [_unpacked(g) for g in rows["grams"]]
-        bits = kernel(np.concatenate([np.zeros(0, np.uint32), *grams]), own["grams"].iloc[0] if len(own) else b"", own["n"].iloc[0] if len(own) else b"")
-        parts = np.split(bits, np.cumsum([len(g) for g in grams])[:-1]) if grams else []
-        return pd.DataFrame({"shard": rows["shard"], "bucket": rows["bucket"], "bits": [x.tobytes() for x in parts]})
+        bits = kernel(np.concatenate([np.zeros(0, np.uint64), *grams]), own["grams"].iloc[0] if len(own) else b"", own["n"].iloc[0] if len(own) else b"")
+        parts = [[x.tobytes() for x in np.split(each, np.cumsum([len(g) for g in grams])[:-1])] if grams else [] for each in bits]
+        return pd.DataFrame({"shard": rows["shard"], "bucket": rows["bucket"], "bits": parts[0], "less": parts[1]})
 
-    return asked.groupBy("bucket").cogroup(known.counts.groupBy("bucket")).applyInPandas(run, "shard int, bucket int, bits binary")
+    return asked.groupBy("bucket").cogroup(known.counts.groupBy("bucket")).applyInPandas(run, "shard int, bucket int, bits binary, less binary")
 
 
-def _placed(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each 2 ** PLACES codes: where they begin, the distinct ones sorted, how often each occurs, and the places of all in that order."""
-    for lo in range(0, len(codes), 1 << PLACES):
-        part = codes[lo : lo + (1 << PLACES)].astype(np.uint64)
-        part = np.sort(part << np.uint64(PLACES) | np.arange(len(part), dtype=np.uint64))
-        own = (part >> np.uint64(PLACES)).astype(np.uint32)
-        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        yield lo, own[start], np.diff(np.append(start, len(own))), (part & np.uint64((1 << PLACES) - 1)).astype(np.int32)
+def _placed(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each PLACED codes: where they begin, the distinct ones, and which of them each is."""
+    for lo in range(0, len(codes), PLACED):
+        of, own = pd.factorize(codes[lo : lo + PLACED])
+        yield lo, own, of.astype(np.int32)
 
 
 def _sums(begin: np.ndarray, placed: list, grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The sum of the bits of each text's n-grams, which are all among the sorted `grams`."""
     out = np.zeros(len(begin) - 1)
-    for lo, own, n, place in placed:
-        each = np.empty(len(place))
-        each[place] = np.repeat(bits[np.searchsorted(grams, own)], n)
-        total = np.concatenate([[0.0], np.cumsum(each)])
-        out += np.diff(total[np.clip(begin - lo, 0, len(place))])
+    for lo, own, of in placed:
+        total = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(grams, own)][of])])
+        out += np.diff(total[np.clip(begin - lo, 0, len(of))])
     return out
 
 
 def score(docs: DataFrame, known: Model) -> DataFrame:
-    """docs (doc_id, lang, text), the model -> (doc_id, lang, mark, n_bytes, bits), bits per byte; null for a text without words. mark is a hash of the text.
+    """docs (doc_id, lang, text), the model -> (doc_id, lang, mark, n_bytes, bits, less), bits per byte; null for a text without words. mark is a hash of the text; less is what a text that was learned would have had, about, if it had not been.
 
     Texts move twice to their shards, first for the n-grams to ask for, then to meet the answers; what the first move
     wrote is gone before the second.
@@ -339,7 +387,7 @@ def score(docs: DataFrame, known: Model) -> DataFrame:
     shards = _in_shards(docs.select("doc_id", "lang", "text"))
     answers = cut(_answered(_asked(shards), known))
     release(answers)
-    names = ["doc_id", "lang", "mark", "n_bytes", "bits"]
+    names = ["doc_id", "lang", "mark", "n_bytes", "bits", "less"]
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         each, begins, without, placed = [np.zeros(0, np.int64)], [], [np.zeros(0, bool)], []
@@ -349,19 +397,21 @@ def score(docs: DataFrame, known: Model) -> DataFrame:
             begins.append(begin)
             without.append(~wordy)
             placed.append(list(_placed(codes)))
-        grams = np.unique(np.concatenate([np.zeros(0, np.uint32), *(own for x in placed for _, own, _, _ in x)]))
-        by_bucket = dict(zip(told["bucket"].to_pylist(), told["bits"].to_pylist()))
+        grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *(own for x in placed for _, own, _ in x)]))
         order, buckets, start = _dealt(grams)
-        bits = np.empty(len(grams))
-        for b, lo, hi in zip(buckets.tolist(), start[:-1], start[1:]):
-            bits[order[lo:hi]] = np.frombuffer(by_bucket[b], np.float16)
         each = np.concatenate(each)
-        total = np.concatenate([np.zeros(0), *(_sums(begin, x, grams, bits) for begin, x in zip(begins, placed))])
-        mean = pa.array(total / np.maximum(each, 1), mask=np.concatenate(without))
-        return pa.table([rows["doc_id"], rows["lang"], rows["mark"], pa.array(each), mean], names=names)
+        means = []
+        for name in names[-2:]:
+            by_bucket = dict(zip(told["bucket"].to_pylist(), told[name].to_pylist()))
+            bits = np.empty(len(grams))
+            for b, lo, hi in zip(buckets.tolist(), start[:-1], start[1:]):
+                bits[order[lo:hi]] = np.frombuffer(by_bucket[b], np.float16)
+            total = np.concatenate([np.zeros(0), *(_sums(begin, x, grams, bits) for begin, x in zip(begins, placed))])
+            means.append(pa.array(total / np.maximum(each, 1), mask=np.concatenate(without)))
+        return pa.table([rows["doc_id"], rows["lang"], rows["mark"], pa.array(each), *means], names=names)
 
     texts = shards.withColumn("mark", F.xxhash64("text"))
-    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "doc_id long, lang string, mark long, n_bytes long, bits double")
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, "doc_id long, lang string, mark long, n_bytes long, bits double, less double")
 
 
 def _drawn() -> Column:
@@ -384,14 +434,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     a null language and one without trusted documents. Texts without words (null, empty, blank) have no perplexity and are
     rejected. Without any trusted document, all others are kept. Rows that repeat a doc_id are judged each by its own
     text. An empty table gives an empty one. Other columns don't matter. The model learns from all trusted documents
-    that aren't toxic; thresholds go by all of them, as toxicity isn't what it judges.
+    that aren't toxic; thresholds go by all of them, as toxicity isn't what it judges, and by what those it learned from
+    would have had otherwise, as texts that it doesn't know have more bits.
     """
     ids = cut(trusted_ids(labels))
     known_ = model(learned(docs, ids))
     release(ids)  # the texts that were counted
     scored = cut(score(docs, known_))
     release(scored)  # the texts that were scored
-    known = cut(scored.where("bits is not null").join(ids, "doc_id", "left_semi").select("lang", "n_bytes", "bits"))
+    known = cut(scored.where("bits is not null").join(ids, "doc_id").select("lang", "n_bytes", F.when(F.col("toxic"), F.col("bits")).otherwise(F.col("less")).alias("bits")))
     median = (F.col("bits"), 0.5, "median")
     limit = (_drawn(), quantile, "limit")
     out = _with(_with(scored, known, *median), _with(known, known, *median), *limit).withColumn("drawn", F.coalesce(_drawn(), "bits"))
