@@ -25,14 +25,19 @@ class Rule:
     declared: str  # what the catalogue says beside the rule
     gate: tuple[str, ...] = ()  # lower-case strings one of which any match has in it, lower-cased
     globs: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()  # the same, of strings that few texts have
+    lines: bool = False  # no match has a line end in it, and LINES finds something in each line that has a match
 
     @property
     def groups(self) -> int:
         return re.compile(self.pattern).groups
 
 
-#: Runs that matches have, for rules without a literal; looked for once for all of these.
-RUNS = {"~long": r"[\p{L}\p{N}]{23}", "~digits": r"\p{Nd}{3}"}
+#: Runs that matches have, for rules without a literal; looked for once for all of these. Long ones have one of the heads of their three rules, in any case.
+RUNS = {"~long": r"(?:[mMnNkKlL5\x{212a}]|[aA][cC])[\p{L}\p{N}]{23}", "~digits": r"\p{Nd}{3}"}
+
+#: What lines have in which one of the rules _IN_LINES matches.
+LINES = "|".join(("@", *RUNS.values()))
 
 # Names, patterns, effective severities, and for each rule literals one of which every match contains (~long, ~digits: RUNS instead).
 _SECRETS = (
@@ -148,8 +153,26 @@ _DEVSECOPS = (
 #: Words that make a match a likely false positive.
 FALSE_POSITIVES = ("example.com", "localhost", "127.0.0.1", "password123", "secretkey", "your_api_key", "your_secret_key", "changeme", "admin", "root", "test", "demo", "sample")
 
-SECRET_RULES = tuple(Rule(SECRETS, i, n, p, s, s, tuple((g,) if i in range(14, 20) or " " not in g else g.split())) for i, (n, p, s, g) in enumerate(_SECRETS))
-LLM_RULES = tuple(Rule(LLM, i, n, p, "LOW", s, tuple(g.split())) for i, (n, p, s, g) in enumerate(_LLM))
+# Signs one of which every match contains besides its gate, and the rules; looked for once for all of them, before their gates.
+_SIGNS = (
+    ("://", ("Postgres URI", "MySQL URI", "MongoDB URI", "Redis URI", "HTTP URL with Credentials", "FTP URL with Credentials")),
+    ("-----", ("RSA Private Key", "EC Private Key", "DSA Private Key", "PGP Private Key", "SSH Private Key", "Generic Private Key", "X509 Certificate", "PKCS12 Certificate")),
+    ("_", ("Google Cloud Service Account", "GitHub Token", "GitHub OAuth", "Stripe Secret Key", "Stripe Test Secret Key", "Stripe Publishable Key", "Stripe Restricted Key")),
+    ("_", ("LLM - API Key in Log Statement", "LLM - HuggingFace Token", "LLM - System Prompt Hardcoded")),
+    ("-", ("GitLab Token", "Slack Token", "Social Security Number", "PyPI API Token", "LLM - OpenAI API Key", "LLM - Anthropic API Key")),
+    (": =", ("Password in Config", "Database Password", "Admin Password", "Generic Secret", "Hex Encoded Secret")),
+    (":", ("Telegram Bot Token", "Kubernetes Secret")),
+    ("=", ("SQL Server Connection", "Oracle Connection", "LLM - Prompt Injection via format()", "LLM - RAG DB Query in Context", "LLM - RAG Raw File in Prompt")),
+    ("+ =", ("LLM - Secret Passed to LLM",)),
+    ("{", ("LLM - Prompt Injection via f-string",)),
+    ("(", ("LLM - Env Var in LLM Context", "LLM - Eval of LLM Output", "LLM - LangChain Unsafe Input")),
+    ("### <", ("LLM - Prompt Delimiter Injection",)),
+)
+_IN_LINES = ("Postgres URI", "MySQL URI", "MongoDB URI", "Redis URI", "HTTP URL with Credentials", "FTP URL with Credentials", "Email", "Discord Bot Token", "Bitcoin Private Key", "Twilio Account SID", "Telegram Bot Token", "Credit Card", "Social Security Number", "Phone Number")
+_NEEDS = {name: tuple(signs.split()) for signs, names in _SIGNS for name in names}
+
+SECRET_RULES = tuple(Rule(SECRETS, i, n, p, s, s, tuple((g,) if i in range(14, 20) or " " not in g else g.split()), (), _NEEDS.get(n, ()), n in _IN_LINES) for i, (n, p, s, g) in enumerate(_SECRETS))
+LLM_RULES = tuple(Rule(LLM, i, n, p, "LOW", s, tuple(g.split()), (), _NEEDS.get(n, ())) for i, (n, p, s, g) in enumerate(_LLM))
 DEVSECOPS_RULES = tuple(Rule(DEVSECOPS, i, n, p, "LOW", s, tuple(g.split()), globs) for i, (n, p, s, g, globs) in enumerate(_DEVSECOPS))
 RULES = {SECRETS: SECRET_RULES, LLM: LLM_RULES, DEVSECOPS: DEVSECOPS_RULES}
 _SEVERITY = {r.name: r.severity for rules in RULES.values() for r in rules}
@@ -181,6 +204,32 @@ _SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 _WORD = r"\p{L}\p{N}_"
 
 
+#: Letters that take more than their two cases where case is ignored.
+_CASES = {"i": "iI\u0131\u0130", "k": "kK\u212a", "s": "sS\u017f"}
+
+
+def _ahead(pattern: str, folded: bool) -> str:
+    """A look-ahead for the first characters of a pattern that begins with a group of alternatives, so that most places are left after one test; nothing where they aren't plain."""
+    opened = re.match(r"\((?:\?:)?(?!\?)", pattern)
+    if not opened:
+        return ""
+    firsts, i, depth, inside, fresh = set(), opened.end(), 1, False, True
+    while i < len(pattern) and depth:
+        c = pattern[i]
+        if fresh:
+            if not re.match(r"[A-Za-z#<][^?*{]", pattern[i:]):
+                return ""
+            firsts.add(c)
+        fresh = depth == 1 and c == "|" and not inside
+        inside = c == "[" or inside and c != "]"
+        depth += 0 if inside else (c == "(") - (c == ")")
+        i += 1 + (c == "\\")
+    if depth or pattern[i : i + 1] in ("?", "*", "{"):
+        return ""
+    chars = "".join(sorted({x for c in firsts for x in (_CASES.get(c.lower(), c.lower() + c.upper()) if folded else c)}))
+    return f"(?=(?-i:[{re.sub('#', r'\\#', chars)}]))"
+
+
 def native(rule: Rule) -> str:
     """The pattern for java.util.regex: its classes spelled out as Unicode's, its boundaries as look-arounds, \\n alone ending lines."""
     pattern = rule.pattern
@@ -191,6 +240,7 @@ def native(rule: Rule) -> str:
     if rule.scanner in (SECRETS, CUSTOM):
         flags |= {"i", "m"}
     flags |= {"d"} | ({"u"} if "i" in flags else set())
+    start = _ahead(pattern, "i" in flags) if rule.scanner in RULES else ""
     out, i, inside = [], 0, False
     while i < len(pattern):
         c = pattern[i]
@@ -215,4 +265,4 @@ def native(rule: Rule) -> str:
             c = "\\&"
         out.append(c)
         i += 1
-    return f"(?{''.join(sorted(flags))}){''.join(out)}"
+    return f"(?{''.join(sorted(flags))}){start}{''.join(out)}"
